@@ -1,0 +1 @@
+"""Nothing here on purpose: the covered feature set has no stream sources, watermarks or state."""
