@@ -178,25 +178,25 @@ def running_totals(
             "_part", F.spark_partition_id()
         )
     )
-    parts = ranged.groupBy(*keys, "_part").agg(F.sum(measure).alias("_sum"))
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum(measure).alias("_part_sum"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = settle(
         parts.select(
             *keys,
             "_part",
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-            F.sum("_sum").over(whole).alias("_all"),
+            F.coalesce(F.sum("_part_sum").over(before), F.lit(0)).alias("_shift"),
+            F.sum("_part_sum").over(whole).alias("_key_total"),
         )
     )
     run = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    summed = ranged.withColumn("_run", F.sum(measure).over(run)).join(parts, [*keys, "_part"])
-    summed = summed.withColumn(out, F.col("_before") + F.col("_run"))
+    summed = ranged.withColumn("_part_run", F.sum(measure).over(run)).join(parts, [*keys, "_part"])
+    summed = summed.withColumn(out, F.col("_shift") + F.col("_part_run"))
     if total:
-        summed = summed.withColumn(total, F.col("_all"))
-    return summed.drop("_part", "_run", "_before", "_all")
+        summed = summed.withColumn(total, F.col("_key_total"))
+    return summed.drop("_part", "_part_run", "_shift", "_key_total")
 
 
 def percentile_rank(

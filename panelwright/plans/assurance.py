@@ -547,12 +547,7 @@ def _shapes(spark, sf):
     )
 
 
-@query(
-    "lineage_checks",
-    with_tables(
-        "latest_point pulls lp shapes audit units facets years all_checks",
-        """SELECT *, round(coalesce(agree / nullif(total, 0), 0), 6) AS share FROM all_checks""",
-        {
+_CHECKS = {
             **_LINEAGE_PANEL,
             "audit": """SELECT indicator_key, place_id, s.place_id IS NOT NULL AS drawn
                 FROM lp LEFT JOIN shapes s USING (place_id)""",
@@ -578,7 +573,15 @@ def _shapes(spark, sf):
                 coalesce((list_sort(list(facet_id))[2:]).list_reduce(lambda x, y: x || ',' || y), ''), NULL FROM facets GROUP BY ALL
             UNION ALL SELECT indicator_key, 'same_year', any_value(top), CAST(sum(n) AS BIGINT), count(*) <= 1,
                 coalesce(array_to_string((list_sort(list(date) FILTER (n <> top)))[1:8], ','), ''), NULL FROM years GROUP BY ALL""",
-        },
+        }
+
+
+@query(
+    "lineage_checks",
+    with_tables(
+        "latest_point pulls lp shapes audit units facets years all_checks",
+        """SELECT *, round(coalesce(agree / nullif(total, 0), 0), 6) AS share FROM all_checks""",
+        _CHECKS,
     ),
 )
 def lineage_checks(spark, sf):
@@ -592,7 +595,12 @@ def lineage_checks(spark, sf):
 
 @query(
     "lineage_failing",
-    None,
+    with_tables(
+        "latest_point pulls lp shapes audit units facets years all_checks",
+        """SELECT indicator_key, count(*) FILTER (NOT passed) AS n_failing, count(*) AS n_checks
+        FROM all_checks GROUP BY ALL""",
+        _CHECKS,
+    ),
 )
 def lineage_failing(spark, sf):
     return lineage.failing_checks(

@@ -333,7 +333,7 @@ def trends_excluding_saturated(spark, sf):
     "trend_fit_lines",
     with_tables(
         "supp_wide supp_year centred trends",
-        """SELECT indicator_key, place_id, CAST(period AS BIGINT) AS period, value,
+        """SELECT indicator_key, place_id, CAST(period AS BIGINT) AS period, round(value, 6) AS value,
         round(intercept + slope * period, 6) AS fitted
         FROM supp_year JOIN trends USING (indicator_key, place_id)""",
         _trend_tables("supp_year"),
@@ -342,7 +342,7 @@ def trends_excluding_saturated(spark, sf):
 def trend_fit_lines(spark, sf):
     panel = panels.supp_year(spark, sf)
     df = trend.fitted_values(panel, trend.fit_trends(panel))
-    return df.select("indicator_key", "place_id", whole("period"), "value", rounded("fitted"))
+    return df.select("indicator_key", "place_id", whole("period"), rounded("value"), rounded("fitted"))
 
 
 _PROGRESS = """SELECT *, CASE WHEN target_value IS NULL THEN NULL WHEN met IS NOT NULL THEN met
@@ -478,8 +478,8 @@ def convergence_query(spark, sf):
 
 def _movers_sql(name: str, order: str) -> str:
     return f"""SELECT indicator_key, '{name}' AS list, row_number() OVER (PARTITION BY indicator_key
-        ORDER BY improvement {order}, place_id) AS position, place_id, base_value, end_value,
-        round(change, 6) AS change, round(improvement, 6) AS improvement FROM behind
+        ORDER BY improvement {order}, place_id) AS position, place_id, round(base_value, 6) AS base_value,
+        round(end_value, 6) AS end_value, round(change, 6) AS change, round(improvement, 6) AS improvement FROM behind
         QUALIFY position <= 5"""
 
 
@@ -495,7 +495,7 @@ def convergence_movers(spark, sf):
     _, places = _ends(spark, sf)
     movers, _ = convergence.convergence_movers(settle(places), panels.settings(spark))
     return movers.withColumns(
-        {"change": rounded("change"), "improvement": rounded("improvement")}
+        {c: rounded(c) for c in ("base_value", "end_value", "change", "improvement")}
     )
 
 

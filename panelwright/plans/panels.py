@@ -1,8 +1,9 @@
 """Panels and metadata tables over the driver's tables, each with the same thing in SQL.
 
 Every panel is one map-side combined aggregation of a fact table, so however many raw rows a
-user, customer or supplier has, a series keeps one row per calendar step. Values are rounded
-here, where they are made, so that later comparisons do not hang on the order of a sum.
+user, customer or supplier has, a series keeps one row per calendar step. Sums of
+decimals are rounded here, where they are made, so that later comparisons do not hang on the
+order of a sum.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def cust_year(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("place_id"),
             F.year("o_orderdate").alias("period"),
         )
-        .agg(F.round(share, 6).alias("value"))
+        .agg(share.alias("value"))
         .withColumn("date", F.col("period").cast("string"))
     )
 
@@ -62,8 +63,8 @@ def supp_year(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.year("l_shipdate").alias("period"),
         )
         .agg(
-            F.round(F.avg((flag == "R").cast("double")) * 100, 6).alias("share_r"),
-            F.round(F.avg((flag == "A").cast("double")) * 100, 6).alias("share_a"),
+            (F.avg((flag == "R").cast("double")) * 100).alias("share_r"),
+            (F.avg((flag == "A").cast("double")) * 100).alias("share_a"),
             F.round(revenue / 1000, 4).alias("revenue"),
             F.sum("l_quantity").alias("quantity"),
         )
@@ -198,6 +199,7 @@ _SETTINGS = [
     ("ship/share_a", "Accepted share", "higher_is_better", 100.0, 40.0, 2010, "ship/quantity", 1996, 2003, "pct", {"URBANIZATION": "DOU_R", "SEX": "M"}),
     ("ship/revenue", "Revenue", "higher_is_better", None, None, None, None, 1999, 2001, "kUSD", {"URBANIZATION": "X9"}),
     ("ship/quantity", "Quantity", "neutral", None, None, None, None, 2010, 2012, None, {"COOK_FUEL": "CLEAN"}),
+    ("supp/rich", "Rich suppliers", "neutral", None, None, None, None, 2000, 2003, "zorkmid", {"URBANIZATION": "U"}),
     ("nation/orders", "Order value", "higher_is_better", None, 5.0, 24100, None, 23940, 24019, "mUSD", None),
 ]
 _SETTINGS_SCHEMA = (
@@ -366,11 +368,11 @@ SQL = {
               SELECT ts, user_id, value, 'events/' || event_type AS k FROM events) GROUP BY ALL""",
     "cust_year": """SELECT 'orders/finished' AS indicator_key, 'cust/' || o_custkey AS place_id,
         CAST(year(o_orderdate) AS INTEGER) AS period, CAST(year(o_orderdate) AS VARCHAR) AS date,
-        round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS value
+        avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS value
         FROM orders GROUP BY ALL""",
     "supp_wide": """SELECT 'supp/' || l_suppkey AS place_id, CAST(year(l_shipdate) AS INTEGER) AS period,
-        round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS share_r,
-        round(avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS share_a,
+        avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS share_r,
+        avg(CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS share_a,
         round(sum(l_extendedprice * (1 - l_discount)) / 1000, 4) AS revenue, sum(l_quantity) AS quantity
         FROM lineitem GROUP BY ALL""",
     "supp_year": """SELECT 'ship/' || m AS indicator_key, place_id, period, CAST(period AS VARCHAR) AS date, value
