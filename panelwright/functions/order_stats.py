@@ -36,7 +36,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with a column per named quantile, linearly interpolated.
 
-    ``largest`` may pass in a known upper limit of the group size to save the count.
+    ``largest`` may pass in a known upper limit of the group size to save the count. Beyond the
+    bound ``df`` is read three times, so it should be a table rather than a long computation.
     """
     keys = list(keys)
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
@@ -144,7 +145,7 @@ def _selected_quantiles(x: DataFrame, keys: list[str], probs: dict[str, float])
         low = F.element_at("_at", F.floor(position))
         high = F.element_at("_at", F.ceil(position))
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return at_rank.select(*keys, *out)
+    return settle(at_rank.select(*keys, *out))
 
 
 def running_totals(

@@ -12,10 +12,12 @@ from panelwright.functions.order_stats import (
     exact_quantiles,
     largest_group,
     running_totals,
+    top_per_key,
 )
 from panelwright.functions.text import fixed
 from panelwright.operators.change import known
 from panelwright.schema import INDICATOR
+from panelwright.staging import settle
 
 
 def weighted_median(
@@ -61,11 +63,12 @@ def reference_lines(
         heavy = weighted_median(points, keys, column, weight, f"_{name}_heavy", largest)
         plain = exact_quantiles(points, keys, column, {f"_{name}_plain": 0.5}, largest)
         lines = lines.join(heavy, keys, "left").join(plain, keys, "left")
-    return lines.select(
+    lines = lines.select(
         *keys,
         F.when(F.col("_w") > 0, F.col("_x_heavy")).otherwise(F.col("_x_plain")).alias("x_ref"),
         F.when(F.col("_w") > 0, F.col("_y_heavy")).otherwise(F.col("_y_plain")).alias("y_ref"),
     )
+    return settle(lines)
 
 
 def with_quadrants(
@@ -95,13 +98,13 @@ def quantile_breaks(
     edges of its one bin.
     """
     keys = list(keys)
-    distinct = df.where(known(value)).select(*keys, F.col(value).alias("_v")).distinct()
+    distinct = settle(df.where(known(value)).select(*keys, F.col(value).alias("_v")).distinct())
     counts = distinct.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"))
     largest = largest_group(distinct, keys)
     names = {f"_q{i}": i / n_bins for i in range(n_bins + 1)}
     edges = exact_quantiles(distinct, keys, "_v", names, largest, bound)
     few = (
-        distinct.join(counts.where(F.col("_n") <= n_bins).select(*keys), keys, "left_semi")
+        top_per_key(distinct, keys, [F.asc("_v")], n_bins)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("_v")).alias("_few"))
     )
@@ -110,9 +113,9 @@ def quantile_breaks(
         .when(F.col("_n") <= n_bins, F.col("_few"))
         .otherwise(F.array_distinct(F.array(*names)))
     )
-    return (
+    return settle(
         counts.join(edges, keys)
-        .join(few, keys, "left")
+        .join(few, keys)
         .select(*keys, F.col("_n").alias("n_distinct"), breaks.alias("breaks"))
     )
 

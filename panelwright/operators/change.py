@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import exact_quantiles, largest_group
+from panelwright.functions.order_stats import GROUP_BOUND, exact_quantiles, largest_group
 from panelwright.schema import INDICATOR, MAD_TO_SIGMA, SERIES
 from panelwright.staging import settle
 
@@ -52,36 +52,62 @@ def change_from_previous(panel: DataFrame, value: str = "value") -> DataFrame:
 
 
 def robust_scale(
-    df: DataFrame, keys: Sequence[str], value: str, largest: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    largest: int | None = None,
+    bound: int = GROUP_BOUND,
 ) -> DataFrame:
     """Median and 1.4826 x median absolute deviation of ``value`` per key."""
     keys = list(keys)
     if largest is None:
         largest = largest_group(df, keys)
-    centre = exact_quantiles(df, keys, value, {"median": 0.5}, largest)
+    if largest <= bound:
+        away = df.select(
+            *keys, value, F.median(value).over(Window.partitionBy(*keys)).alias("median")
+        ).withColumn("_away", F.abs(F.col(value) - F.col("median")))
+        return away.groupBy(*keys).agg(
+            F.first("median").alias("median"),
+            (F.lit(MAD_TO_SIGMA) * F.median("_away")).alias("scale"),
+        )
+    centre = exact_quantiles(df, keys, value, {"median": 0.5}, largest, bound)
     away = df.join(centre, keys).select(
         *keys, "median", F.abs(F.col(value) - F.col("median")).alias("_away")
     )
-    mad = exact_quantiles(away, [*keys, "median"], "_away", {"_mad": 0.5}, largest)
+    mad = exact_quantiles(away, [*keys, "median"], "_away", {"_mad": 0.5}, largest, bound)
     return mad.select(*keys, "median", (F.lit(MAD_TO_SIGMA) * F.col("_mad")).alias("scale"))
 
 
-def change_scales(changes: DataFrame, largest: int | None = None) -> DataFrame:
+def change_scales(
+    changes: DataFrame, largest: int | None = None, bound: int = GROUP_BOUND
+) -> DataFrame:
     """Per indicator: pooled scale of its changes, and the smallest change worth flagging.
 
-    Indicators with fewer than two changes have no row.
+    Indicators with fewer than two changes have no row. The result is written, so that joins
+    with it know how small it is.
     """
     if largest is None:
         largest = largest_group(changes, [INDICATOR])
-    pooled = robust_scale(changes, [INDICATOR], "change", largest)
-    sizes = changes.select(INDICATOR, F.abs("change").alias("_size"))
-    p90 = exact_quantiles(sizes, [INDICATOR], "_size", {"_p90": 0.9}, largest)
-    n = changes.groupBy(INDICATOR).agg(F.count("change").alias("n_changes"))
+    if largest <= bound:
+        middle = F.median("change").over(Window.partitionBy(INDICATOR))
+        stats = (
+            changes.select(INDICATOR, "change", middle.alias("_middle"))
+            .groupBy(INDICATOR)
+            .agg(
+                F.count("change").alias("n_changes"),
+                F.median(F.abs(F.col("change") - F.col("_middle"))).alias("_mad"),
+                F.percentile(F.abs("change"), F.lit(0.9)).alias("_p90"),
+            )
+            .withColumn("scale", F.lit(MAD_TO_SIGMA) * F.col("_mad"))
+        )
+    else:
+        pooled = robust_scale(changes, [INDICATOR], "change", largest, bound)
+        sizes = changes.select(INDICATOR, F.abs("change").alias("_size"))
+        p90 = exact_quantiles(sizes, [INDICATOR], "_size", {"_p90": 0.9}, largest, bound)
+        n = changes.groupBy(INDICATOR).agg(F.count("change").alias("n_changes"))
+        stats = n.join(pooled, INDICATOR).join(p90, INDICATOR)
     return settle(
-        n.where(F.col("n_changes") >= 2)
-        .join(pooled, INDICATOR)
-        .join(p90, INDICATOR)
-        .select(
+        stats.where(F.col("n_changes") >= 2).select(
             INDICATOR,
             F.col("scale").alias("pooled_scale"),
             F.greatest("scale", "_p90").alias("magnitude_gate"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.order_stats import top_per_key
 from panelwright.functions.text import fixed
 from panelwright.schema import DISAGREEMENT_POINTS, INDICATOR, SERIES
+from panelwright.staging import settle
 
 MIN_JACCARD = 0.5
 MIN_SHARED_YEARS = 5
@@ -71,7 +72,7 @@ def join_specs(
 
     ``indicators`` gives dimensions, unit, unit_display, temporal_start and temporal_end.
     Places are counted from the panel: distinct (indicator, place) pairs, joined on the place
-    within each requested pair. Warnings and blockers are stable ids; a view turns them into
+    within each requested pair. The verdicts, a row per pair, are written. Warnings and blockers are stable ids; a view turns them into
     sentences.
     """
     meta = with_unit_family(indicators, families).join(
@@ -96,7 +97,8 @@ def join_specs(
             *[F.col(c).alias(f"{prefix[0]}_{c}") for c in fields],
         )
 
-    present = panel.select(*SERIES).distinct()
+    # Read four times below, and far smaller than the panel.
+    present = settle(panel.select(*SERIES).distinct())
     counts = present.groupBy(INDICATOR).agg(F.count("*").alias("_n"))
     left = present.select(F.col(INDICATOR).alias("left_key"), "place_id")
     right = present.select(F.col(INDICATOR).alias("right_key"), "place_id")
@@ -184,7 +186,7 @@ def join_specs(
             agreed(n).alias("canonical"),
         ),
     )
-    return out.select(
+    specs = out.select(
         *PAIR,
         F.concat(F.array(F.lit("place_id"), F.lit("date")), F.col("_names")).alias("join_keys"),
         matches.alias("shared_dimensions"),
@@ -205,6 +207,7 @@ def join_specs(
         "blockers",
         warnings.alias("warnings"),
     )
+    return settle(specs)
 
 
 def compare_points(latest: DataFrame, specs: DataFrame) -> DataFrame:

@@ -9,15 +9,18 @@ from panelwright.functions.order_stats import exact_quantiles, largest_group, to
 from panelwright.functions.student_t import t_975_column
 from panelwright.operators.change import known
 from panelwright.schema import INDICATOR, SATURATION_TOLERANCE, SERIES
+from panelwright.staging import settle
 
 MIN_PLACES = 5
 LOW_COVERAGE = 0.8
 
 
 def series_endpoints(panel: DataFrame) -> DataFrame:
-    """First and last period present per indicator."""
-    return panel.groupBy(INDICATOR).agg(
-        F.min("period").alias("base_period"), F.max("period").alias("end_period")
+    """First and last period present per indicator, written: it is joined with the whole panel."""
+    return settle(
+        panel.groupBy(INDICATOR).agg(
+            F.min("period").alias("base_period"), F.max("period").alias("end_period")
+        )
     )
 
 

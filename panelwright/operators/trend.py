@@ -23,21 +23,20 @@ def is_saturated(
     return latest >= ceiling - tolerance
 
 
-def fit_trends(panel: DataFrame, value: str = "value") -> DataFrame:
-    """Least-squares line per series with a 95 % interval from Newey-West errors (two lags).
-
-    With centred periods c and residuals u, the slope's variance is the Bartlett-weighted sum
-    of the products of g = c*u with its two lags, over the squared sum of c^2. Lags count
-    observations. Series with fewer than three observations have no row.
-    """
+def _series_fits(panel: DataFrame, value: str) -> DataFrame:
+    """Fit sums of every series with a known value, and its latest value, null or not."""
     series = Window.partitionBy(*SERIES)
     ordered = series.orderBy("period")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x, y = F.col("period").cast("double"), F.col(value)
     rows = (
-        panel.where(known(value) & F.col("period").isNotNull())
+        panel.where(F.col("period").isNotNull())
+        .withColumn("latest_value", F.last(value).over(whole))
+        .where(known(value))
         .select(
             *SERIES,
             "period",
+            "latest_value",
             (x - F.avg(x).over(series)).alias("_c"),
             (y - F.avg(y).over(series)).alias("_d"),
             F.avg(x).over(series).alias("_mean_x"),
@@ -49,52 +48,64 @@ def fit_trends(panel: DataFrame, value: str = "value") -> DataFrame:
         .withColumn("_g2", F.lag("_g", 2).over(ordered))
     )
     g = F.col("_g")
-    fitted = (
-        rows.groupBy(*SERIES)
-        .agg(
-            F.count("*").alias("n_obs"),
-            F.first("_slope").alias("slope"),
-            F.first(F.col("_mean_y") - F.col("_slope") * F.col("_mean_x")).alias("intercept"),
-            F.sum(F.col("_c") * F.col("_c")).alias("_sxx"),
-            F.sum(g * g).alias("_s0"),
-            F.coalesce(F.sum(g * F.col("_g1")), F.lit(0.0)).alias("_s1"),
-            F.coalesce(F.sum(g * F.col("_g2")), F.lit(0.0)).alias("_s2"),
-        )
-        .where(F.col("n_obs") >= 3)
+    return rows.groupBy(*SERIES).agg(
+        F.count("*").alias("n_obs"),
+        F.first("latest_value").alias("latest_value"),
+        F.first("_slope").alias("slope"),
+        F.first(F.col("_mean_y") - F.col("_slope") * F.col("_mean_x")).alias("intercept"),
+        F.sum(F.col("_c") * F.col("_c")).alias("_sxx"),
+        F.sum(g * g).alias("_s0"),
+        F.coalesce(F.sum(g * F.col("_g1")), F.lit(0.0)).alias("_s1"),
+        F.coalesce(F.sum(g * F.col("_g2")), F.lit(0.0)).alias("_s2"),
     )
+
+
+def _intervals(fits: DataFrame) -> DataFrame:
     spread = F.col("_s0") + 2 * (F.col("_s1") * 2 / 3 + F.col("_s2") / 3)
     error = F.sqrt(F.greatest(spread, F.lit(0.0))) / F.nullif(F.col("_sxx"), F.lit(0.0))
-    return fitted.withColumn("_half", F.lit(NORMAL_975) * error).select(
-        *SERIES,
-        "n_obs",
-        "slope",
-        (F.col("slope") - F.col("_half")).alias("slope_ci_low"),
-        (F.col("slope") + F.col("_half")).alias("slope_ci_high"),
-        "intercept",
-        F.lit(False).alias("is_saturated"),
+    return (
+        fits.where(F.col("n_obs") >= 3)
+        .withColumn("_half", F.lit(NORMAL_975) * error)
+        .select(
+            *SERIES,
+            "n_obs",
+            "slope",
+            (F.col("slope") - F.col("_half")).alias("slope_ci_low"),
+            (F.col("slope") + F.col("_half")).alias("slope_ci_high"),
+            "intercept",
+            F.lit(False).alias("is_saturated"),
+        )
     )
 
 
-def saturated_places(panel: DataFrame, indicators: DataFrame, value: str = "value") -> DataFrame:
-    """Series whose latest cell (null or not) is at the indicator's ceiling, with that value."""
-    latest = panel.groupBy(*SERIES).agg(F.max_by(value, "period").alias("latest_value"))
-    ceilings = indicators.where(F.col("saturation_ceiling").isNotNull()).select(
-        INDICATOR, "saturation_ceiling"
-    )
-    return (
-        latest.join(ceilings, INDICATOR)
-        .where(is_saturated(F.col("latest_value"), F.col("saturation_ceiling")))
-        .select(*SERIES, "latest_value", "saturation_ceiling")
-    )
+def fit_trends(panel: DataFrame, value: str = "value") -> DataFrame:
+    """Least-squares line per series with a 95 % interval from Newey-West errors (two lags).
+
+    With centred periods c and residuals u, the slope's variance is the Bartlett-weighted sum
+    of the products of g = c*u with its two lags, over the squared sum of c^2. Lags count
+    observations. Series with fewer than three observations have no row.
+    """
+    return _intervals(_series_fits(panel, value))
 
 
 def fit_trends_excluding_saturated(
     panel: DataFrame, indicators: DataFrame, value: str = "value"
 ) -> tuple[DataFrame, DataFrame]:
-    """(trends of the rest, the saturated series): none is dropped without being listed."""
-    saturated = saturated_places(panel, indicators, value)
-    rest = panel.join(saturated.select(*SERIES), SERIES, "left_anti")
-    return fit_trends(rest, value), saturated
+    """(trends of the rest, the saturated series): none is dropped without being listed.
+
+    A series is saturated when its latest cell, null or not, is at the indicator's ceiling.
+    """
+    ceilings = indicators.where(F.col("saturation_ceiling").isNotNull()).select(
+        INDICATOR, "saturation_ceiling"
+    )
+    fits = _series_fits(panel, value).join(ceilings, INDICATOR, "left")
+    full = F.coalesce(
+        is_saturated(F.col("latest_value"), F.col("saturation_ceiling"))
+        & known("latest_value"),
+        F.lit(False),
+    )
+    saturated = fits.where(full).select(*SERIES, "latest_value", "saturation_ceiling")
+    return _intervals(fits.where(~full)), saturated
 
 
 def fitted_values(panel: DataFrame, trends: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import coverage, lineage, quality
 from panelwright.plans import panels
 from panelwright.plans.registry import query, rounded, whole, with_tables
-from panelwright.schema import INDICATOR
+from panelwright.schema import INDICATOR, literal_table
 
 _BASE = "cust_year supp_wide supp_year settings"
 CTE = {
@@ -503,7 +503,7 @@ _PUBLISHED = [("ship/share_r", 33.3), ("ship/share_a", 50.0), ("ship/none", 1.0)
 )
 def weighted_mean_check(spark, sf):
     at = F.col("period") == 2000
-    published = spark.createDataFrame(_PUBLISHED, "indicator_key string, published double")
+    published = literal_table(spark, _PUBLISHED, "indicator_key string, published double")
     df = quality.weighted_mean_check(
         panels.supp_year(spark, sf).where(at).select(INDICATOR, "place_id", "value"),
         _supp_weights(spark, sf).where(at).select("place_id", "weight"),

@@ -8,7 +8,7 @@ from panelwright.functions.order_stats import exact_quantiles, percentile_rank
 from panelwright.operators import bins, cluster, compare, convergence, priority
 from panelwright.plans import panels
 from panelwright.plans.registry import query, rounded, whole, with_tables
-from panelwright.schema import INDICATOR
+from panelwright.schema import INDICATOR, literal_table
 from panelwright.staging import settle
 
 # ---- comparability ----
@@ -39,7 +39,7 @@ def _spec_panel(spark, sf):
 
 
 def _specs(spark, sf):
-    pairs = spark.createDataFrame(_PAIRS, "left_key string, right_key string")
+    pairs = literal_table(spark, _PAIRS, "left_key string, right_key string")
     return compare.join_specs(
         pairs, panels.settings(spark), _spec_panel(spark, sf), panels.unit_families(spark),
         panels.dimension_aliases(spark),
@@ -598,7 +598,7 @@ def quantile_breaks(spark, sf):
 )
 def binned_values(spark, sf):
     values = _values(spark, sf)
-    edges = settle(bins.quantile_breaks(values, [INDICATOR], "value").select(INDICATOR, "breaks"))
+    edges = bins.quantile_breaks(values, [INDICATOR], "value").select(INDICATOR, "breaks")
     df = values.join(edges, INDICATOR)
     df = df.withColumn("bin", bins.bin_index(F.col("value"), F.col("breaks")))
     return df.select(

@@ -8,7 +8,7 @@ from panelwright.functions import ids
 from panelwright.operators import lineage, places
 from panelwright.plans import panels
 from panelwright.plans.registry import query, rounded, whole, with_tables
-from panelwright.schema import INDICATOR, PAYLOAD
+from panelwright.schema import INDICATOR, PAYLOAD, literal_table
 from panelwright.sources import catalog, observations
 
 # ---- identifiers ----
@@ -204,8 +204,8 @@ def usable_rows(spark, sf):
 
 
 def _second_source_meta(spark):
-    return spark.createDataFrame(
-        [("orders/price", "worldbank/OR.PRC.X", "USD", "US dollars", "worldbank", None)],
+    return literal_table(
+        spark, [("orders/price", "worldbank/OR.PRC.X", "USD", "US dollars", "worldbank", None)],
         "indicator_key string, variable_id string, unit string, unit_display string, "
         "source_agency string, dimensions map<string,string>",
     )
@@ -263,8 +263,8 @@ def combined_sources(spark, sf):
 
 
 def _payload_meta(spark, keys):
-    return spark.createDataFrame(
-        [(k, f"var/{k}", "maker", None) for k in keys],
+    return literal_table(
+        spark, [(k, f"var/{k}", "maker", None) for k in keys],
         "indicator_key string, variable_id string, source_agency string, "
         "dimensions map<string,string>",
     )
@@ -611,7 +611,7 @@ def parent_counts(spark, sf):
     regions = panels.table(spark, sf, "region").select(
         F.concat(F.lit("region/"), F.col("r_regionkey").cast("string")).alias("parent")
     )
-    none = spark.createDataFrame([("region/none",)], "parent string")
+    none = literal_table(spark, [("region/none",)], "parent string")
     return places.parent_counts(regions.unionByName(none), _edges(spark, sf))
 
 

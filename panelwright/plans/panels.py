@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.schema import literal_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,18 +24,23 @@ def _day(ts: str) -> Column:
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average event value per user and day: one indicator over all events, one per type."""
-    keys = F.array(F.lit("events/all"), F.concat(F.lit("events/"), F.col("event_type")))
     return (
         table(spark, sf_dir, "events")
         .select(
-            F.explode(keys).alias("indicator_key"),
-            F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("place_id"),
+            F.explode(F.array(F.lit("all"), F.col("event_type"))).alias("_type"),
+            "user_id",
             _day("ts").alias("period"),
             "value",
         )
-        .groupBy("indicator_key", "place_id", "period")
+        .groupBy("_type", "user_id", "period")
         .agg(F.round(F.avg("value"), 6).alias("value"))
-        .withColumn("date", F.date_from_unix_date("period").cast("string"))
+        .select(
+            F.concat(F.lit("events/"), "_type").alias("indicator_key"),
+            F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("place_id"),
+            "period",
+            F.date_from_unix_date("period").cast("string").alias("date"),
+            "value",
+        )
     )
 
 
@@ -42,13 +49,15 @@ def cust_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.avg((F.col("o_orderstatus") == "F").cast("double")) * 100
     return (
         table(spark, sf_dir, "orders")
-        .groupBy(
+        .groupBy("o_custkey", F.year("o_orderdate").alias("period"))
+        .agg(share.alias("value"))
+        .select(
             F.lit("orders/finished").alias("indicator_key"),
             F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("place_id"),
-            F.year("o_orderdate").alias("period"),
+            "period",
+            F.col("period").cast("string").alias("date"),
+            "value",
         )
-        .agg(share.alias("value"))
-        .withColumn("date", F.col("period").cast("string"))
     )
 
 
@@ -58,10 +67,7 @@ def supp_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     measured = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string")).alias("place_id"),
-            F.year("l_shipdate").alias("period"),
-        )
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("period"))
         .agg(
             (F.avg((flag == "R").cast("double")) * 100).alias("share_r"),
             (F.avg((flag == "A").cast("double")) * 100).alias("share_a"),
@@ -70,10 +76,10 @@ def supp_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return measured.unpivot(
-        ["place_id", "period"], ["share_r", "share_a", "revenue", "quantity"], "_m", "value"
+        ["l_suppkey", "period"], ["share_r", "share_a", "revenue", "quantity"], "_m", "value"
     ).select(
         F.concat(F.lit("ship/"), "_m").alias("indicator_key"),
-        "place_id",
+        F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string")).alias("place_id"),
         "period",
         F.col("period").cast("string").alias("date"),
         "value",
@@ -222,7 +228,7 @@ DIMENSION_ALIASES = [
 
 
 def settings(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_SETTINGS, _SETTINGS_SCHEMA)
+    rows = literal_table(spark, _SETTINGS, _SETTINGS_SCHEMA)
     return rows.withColumns(
         {
             "temporal_start": F.col("temporal_start").cast("string"),
@@ -233,12 +239,12 @@ def settings(spark: SparkSession) -> DataFrame:
 
 
 def unit_families(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNIT_FAMILIES, "member string, family string")
+    return literal_table(spark, UNIT_FAMILIES, "member string, family string")
 
 
 def dimension_aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        DIMENSION_ALIASES, "dim string, alias string, canonical string, label string"
+    return literal_table(
+        spark, DIMENSION_ALIASES, "dim string, alias string, canonical string, label string"
     )
 
 
@@ -251,7 +257,8 @@ _PULLS = [
 
 
 def pulls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         _PULLS,
         "indicator_key string, label string, source string, upstream_source string, unit string, "
         "value_min double, value_max double, place_coverage bigint",
@@ -259,8 +266,8 @@ def pulls(spark: SparkSession) -> DataFrame:
 
 
 def pull_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [("api_a", "Source A"), ("api_b", "Source B"), ("api_c", "Source C")],
+    return literal_table(
+        spark, [("api_a", "Source A"), ("api_b", "Source B"), ("api_c", "Source C")],
         "source string, source_label string",
     )
 
@@ -322,23 +329,22 @@ def part_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity per part, supplier and year: one indicator per part."""
-    return (
+    cells = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("indicator_key"),
-            F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string")).alias("place_id"),
-            F.year("l_shipdate").alias("period"),
-        )
+        .groupBy("l_partkey", "l_suppkey", F.year("l_shipdate").alias("period"))
         .agg(F.sum("l_quantity").alias("value"), F.max("l_returnflag").alias("facet_id"))
-        .withColumns(
-            {
-                "date": F.col("period").cast("string"),
-                "unit": F.concat(F.lit("unit_"), "facet_id"),
-                "unit_display": F.lit("pieces"),
-                "provenance_id": F.concat(F.lit("prov/"), "facet_id"),
-                "provenance_url": F.concat(F.lit("https://example.org/"), "facet_id"),
-            }
-        )
+    )
+    return cells.select(
+        F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("indicator_key"),
+        F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string")).alias("place_id"),
+        "period",
+        F.col("period").cast("string").alias("date"),
+        "value",
+        "facet_id",
+        F.concat(F.lit("unit_"), "facet_id").alias("unit"),
+        F.lit("pieces").alias("unit_display"),
+        F.concat(F.lit("prov/"), "facet_id").alias("provenance_id"),
+        F.concat(F.lit("https://example.org/"), "facet_id").alias("provenance_url"),
     )
 
 

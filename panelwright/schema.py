@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 INDICATOR, PLACE, PERIOD = "indicator_key", "place_id", "period"
 SERIES = [INDICATOR, PLACE]
 CELL = [INDICATOR, PLACE, PERIOD]
 
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few constant rows as a table whose size Spark knows, so joins with it broadcast."""
+    names = [c.strip().split(" ")[0] for c in columns.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows]).replace("\\", "\\\\")
+    text = text.replace("'", "\\'")
+    return spark.sql(f"SELECT inline(from_json('{text}', 'array<struct<{columns}>>'))")
+
+
 PANEL_COLUMNS = [
     "indicator_key",
     "place_id",

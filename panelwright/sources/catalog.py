@@ -151,42 +151,29 @@ def indicators_of_topic(catalog: DataFrame, topic: str) -> DataFrame:
 def profile_observations(panel: DataFrame) -> DataFrame:
     """Metadata measured from the data: coverage, ranges (unrounded), facets.
 
-    A unit or provenance is taken only when a single facet serves the indicator. Two steps, so
-    that distinct counts are counts of combined rows and nothing is expanded per count.
+    A unit or provenance is taken only when a single facet serves the indicator. The panel is
+    read once and combined per (indicator, place, facet); only those rows are counted distinctly.
     """
+    served = ["unit", "unit_display", "provenance_id", "provenance_url"]
     known = panel.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranges = known.groupBy(INDICATOR, "place_id").agg(
+    per_place = known.groupBy(INDICATOR, "place_id", "facet_id").agg(
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
         F.min("date").alias("first"),
         F.max("date").alias("last"),
+        *[F.max(F.when(F.col("facet_id").isNotNull(), F.col(c))).alias(c) for c in served],
     )
-    ranges = ranges.groupBy(INDICATOR).agg(
-        F.count("*").alias("place_coverage"),
+    profile = per_place.groupBy(INDICATOR).agg(
+        F.countDistinct("place_id").alias("place_coverage"),
         F.min("lo").alias("value_min"),
         F.max("hi").alias("value_max"),
         F.min("first").alias("temporal_start"),
         F.max("last").alias("temporal_end"),
-    )
-    served = ["unit", "unit_display", "provenance_id", "provenance_url"]
-    facets = (
-        known.where(F.col("facet_id").isNotNull())
-        .groupBy(INDICATOR, "facet_id")
-        .agg(*[F.max(c).alias(c) for c in served])
-        .groupBy(INDICATOR)
-        .agg(F.count("*").alias("facet_count"), *[F.max(c).alias(c) for c in served])
+        F.countDistinct("facet_id").alias("facet_count"),
+        *[F.max(c).alias(c) for c in served],
     )
     single = F.col("facet_count") == 1
-    return ranges.join(facets, INDICATOR, "left").select(
-        INDICATOR,
-        "place_coverage",
-        "value_min",
-        "value_max",
-        "temporal_start",
-        "temporal_end",
-        F.coalesce("facet_count", F.lit(0)).alias("facet_count"),
-        *[F.when(single, F.col(c)).alias(c) for c in served],
-    )
+    return profile.withColumns({c: F.when(single, F.col(c)) for c in served})
 
 
 def discovered_rows(curated: DataFrame, profile: DataFrame) -> DataFrame:

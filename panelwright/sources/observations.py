@@ -15,6 +15,7 @@ from panelwright.schema import (
     PAYLOAD,
     SECOND_SOURCE_ROW,
 )
+from panelwright.staging import settle
 
 # Places per payload row of a snapshot, so that one variable never is one record.
 PLACES_PER_ROW = 10_000
@@ -227,7 +228,7 @@ def combine_sources(*panels: DataFrame) -> DataFrame:
 
 def _chunks(panel: DataFrame, per_row: int) -> DataFrame:
     """Adds a chunk number so that each (variable, chunk) holds about ``per_row`` places."""
-    places = panel.groupBy("variable_id").agg(F.count("*").alias("_rows"))
+    places = settle(panel.groupBy("variable_id").agg(F.count("*").alias("_rows")))
     chunks = F.ceil(F.col("_rows") / per_row)
     return panel.join(places, "variable_id").withColumn(
         "_chunk", F.pmod(F.xxhash64("place_id"), chunks)
