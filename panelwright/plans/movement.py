@@ -403,14 +403,15 @@ def progress(spark, sf):
              ELSE printf('%.1f', sg * (target_value - latest_value)) || ' remaining' END AS gap_to_target,
         CASE WHEN target_value IS NULL THEN NULL WHEN projected_year IS NULL THEN '—'
              WHEN projected_year = 'inf'::DOUBLE THEN 'Not at current pace'
-             ELSE printf('%.0f', projected_year) END AS reaches_target,
+             ELSE printf('%.0f', round(projected_year, 6)) END AS reaches_target,
         CASE WHEN target_year IS NULL THEN NULL WHEN projected_year IS NULL THEN '—'
              WHEN projected_year <= target_year THEN '✅ Yes' ELSE '❌ No' END AS on_track FROM progress""",
         _PROGRESS_EXTRA,
     ),
 )
 def progress_table(spark, sf):
-    return trend.progress_table(_progress(spark, sf), panels.user_names(spark, sf)).withColumn(
+    results = _progress(spark, sf).withColumn("projected_year", rounded("projected_year"))
+    return trend.progress_table(results, panels.user_names(spark, sf)).withColumn(
         "latest_year", whole("latest_year")
     )
 
