@@ -172,7 +172,13 @@ def to_wide(
     value: str = "value",
     ordering: str = "period",
 ) -> DataFrame:
-    """One column per listed indicator; the first known value of a cell by ``ordering``."""
-    first = F.min_by(value, F.when(known(value), F.col(ordering)))
+    """One column per listed indicator; the first known value of a cell by ``ordering``.
+
+    The keys are given, so this is one conditional aggregation with a single shuffle on the index.
+    """
+    first = [
+        F.min_by(value, F.when(known(value) & (F.col(INDICATOR) == k), F.col(ordering))).alias(k)
+        for k in indicator_keys
+    ]
     wide = panel.where(F.col(INDICATOR).isin(list(indicator_keys)))
-    return wide.groupBy(*index).pivot(INDICATOR, list(indicator_keys)).agg(first)
+    return wide.groupBy(*index).agg(*first)

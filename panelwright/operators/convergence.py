@@ -29,8 +29,8 @@ def endpoint_values(
 ) -> tuple[DataFrame, DataFrame]:
     """(places with both endpoint values, places lacking a value at one they report).
 
-    One conditional aggregation over the two periods. Missing values cannot enter the fit;
-    the places they belong to are returned as well.
+    One conditional aggregation over the two periods, written once for all that reads it.
+    Missing values cannot enter the fit; the places they belong to are returned as well.
     """
     ends = panel.join(endpoints, INDICATOR).where(
         (F.col("period") == F.col("base_period")) | (F.col("period") == F.col("end_period"))
@@ -46,7 +46,9 @@ def endpoint_values(
             F.max(F.when(end & known(value), F.col(value))).alias("end_value"),
         )
         .where(F.col("_has_base") & F.col("_has_end"))
+        .select(*SERIES, "base_value", "end_value")
     )
+    both = settle(both)
     complete = F.col("base_value").isNotNull() & F.col("end_value").isNotNull()
     columns = [*SERIES, "base_value", "end_value"]
     places = both.where(complete).select(

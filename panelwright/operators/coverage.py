@@ -133,7 +133,7 @@ def unmatched_places(panel: DataFrame, geometry: DataFrame) -> DataFrame:
 def unmatched_geometry(panel: DataFrame, geometry: DataFrame) -> DataFrame:
     """Geometries no indicator of ``panel`` has data for."""
     return geometry.select("place_id").distinct().join(
-        panel.select("place_id"), "place_id", "left_anti"
+        panel.select("place_id").distinct(), "place_id", "left_anti"
     )
 
 

@@ -14,6 +14,7 @@ from panelwright.functions.ids import id_agency, id_code, id_dimensions
 from panelwright.functions.order_stats import top_per_key
 from panelwright.operators.coverage import audit_join, unmatched_places
 from panelwright.schema import INDICATOR, LINEAGE_STEPS
+from panelwright.staging import settle
 
 SHOWN = 8
 
@@ -39,16 +40,55 @@ def _first_offenders(rows: DataFrame, column: str, n: int | None = SHOWN) -> Dat
     return first.groupBy(INDICATOR).agg(F.array_sort(F.collect_list(column)).alias("_off"))
 
 
-def coverage_check(latest: DataFrame, indicators: DataFrame) -> DataFrame:
+class Facts(NamedTuple):
+    """Row counts per indicator, and per indicator with facet, date and served unit."""
+
+    rows: DataFrame
+    facets: DataFrame
+    dates: DataFrame
+    units: DataFrame
+
+
+def lineage_facts(latest: DataFrame) -> Facts:
+    """All counts the checks need from a single read, as one aggregation over grouping sets.
+
+    The counts are written: a few rows per indicator, read by every check.
+    """
+    unknown = F.lit("?")
+    rows = latest.select(
+        INDICATOR,
+        F.coalesce("facet_id", unknown).alias("facet"),
+        F.coalesce("date", unknown).alias("date"),
+        F.when(F.col("facet_id").isNotNull(), F.col("unit")).alias("unit"),
+    )
+    key, columns = F.col(INDICATOR), ["facet", "date", "unit"]
+    sets = [[key], *[[key, F.col(c)] for c in columns]]
+    counts = rows.groupingSets(sets, key, *[F.col(c) for c in columns]).agg(
+        F.count("*").alias("_n"),
+        *[F.grouping(c).cast("int").alias(f"_no_{c}") for c in columns],
+    )
+    counts = settle(counts)
+    of = lambda c: counts.where(F.col(f"_no_{c}") == 0).select(INDICATOR, c, "_n")
+    alone = F.lit(True)
+    for c in columns:
+        alone = alone & (F.col(f"_no_{c}") == 1)
+    return Facts(
+        counts.where(alone).select(INDICATOR, "_n"),
+        of("facet"),
+        of("date"),
+        of("unit").where(F.col("unit").isNotNull()),
+    )
+
+
+def coverage_check(facts: Facts, indicators: DataFrame) -> DataFrame:
     """Recorded number of places against the rows there are now; none without a record."""
-    live = latest.groupBy(INDICATOR).agg(F.count("*").alias("_live"))
     rows = (
         indicators.where(F.col("place_coverage") > 0)
         .select(INDICATOR, "place_coverage")
-        .join(live, INDICATOR, "left")
-        .fillna(0, subset=["_live"])
+        .join(facts.rows, INDICATOR, "left")
+        .fillna(0, subset=["_n"])
     )
-    recorded, now = F.col("place_coverage"), F.col("_live")
+    recorded, now = F.col("place_coverage"), F.col("_n")
     note = F.when(recorded != now, F.format_string("%d → %d", recorded, now))
     return _check(
         rows, "catalog_coverage", F.least(recorded, now), F.greatest(recorded, now),
@@ -56,11 +96,10 @@ def coverage_check(latest: DataFrame, indicators: DataFrame) -> DataFrame:
     )
 
 
-def unit_check(latest: DataFrame, indicators: DataFrame) -> DataFrame:
+def unit_check(facts: Facts, indicators: DataFrame) -> DataFrame:
     """Units actually served against the catalog's unit."""
     wanted = indicators.where(F.col("unit") != "").select(INDICATOR, F.col("unit").alias("_unit"))
-    served = latest.where(F.col("unit").isNotNull() & F.col("facet_id").isNotNull())
-    served = served.select(INDICATOR, "unit").distinct().join(wanted, INDICATOR)
+    served = facts.units.join(wanted, INDICATOR)
     off = _first_offenders(served.where(F.col("unit") != F.col("_unit")), "unit", None)
     counts = served.groupBy(INDICATOR).agg(
         F.count("*").alias("_served"),
@@ -74,16 +113,13 @@ def unit_check(latest: DataFrame, indicators: DataFrame) -> DataFrame:
     )
 
 
-def facet_check(latest: DataFrame) -> DataFrame:
+def facet_check(facts: Facts) -> DataFrame:
     """Share of values from the dominant facet.
 
     Offenders are all facets but the alphabetically first; ``non_dominant_facets`` lists the
     others properly.
     """
-    counts = latest.groupBy(INDICATOR, F.coalesce("facet_id", F.lit("?")).alias("facet")).agg(
-        F.count("*").alias("_n")
-    )
-    rows = counts.groupBy(INDICATOR).agg(
+    rows = facts.facets.groupBy(INDICATOR).agg(
         F.max("_n").alias("_max"),
         F.sum("_n").alias("_total"),
         F.array_sort(F.collect_list("facet")).alias("_facets"),
@@ -105,15 +141,12 @@ def non_dominant_facets(latest: DataFrame) -> DataFrame:
     return counts.join(top, INDICATOR).where(F.col("facet") != F.col("dominant_facet"))
 
 
-def year_check(latest: DataFrame) -> DataFrame:
+def year_check(facts: Facts) -> DataFrame:
     """Share of places on the most frequent date; offenders have a different count from it."""
-    counts = latest.groupBy(INDICATOR, F.coalesce("date", F.lit("?")).alias("date")).agg(
-        F.count("*").alias("_n")
-    )
-    rows = counts.groupBy(INDICATOR).agg(
+    rows = facts.dates.groupBy(INDICATOR).agg(
         F.max("_n").alias("_max"), F.sum("_n").alias("_total"), F.count("*").alias("_dates")
     )
-    others = counts.join(rows, INDICATOR).where(F.col("_n") != F.col("_max"))
+    others = facts.dates.join(rows, INDICATOR).where(F.col("_n") != F.col("_max"))
     off = _first_offenders(others.select(INDICATOR, "date"), "date")
     return _check(
         rows.join(off, INDICATOR, "left"), "same_year", "_max", F.col("_total"),
@@ -143,12 +176,13 @@ def lineage_checks(
     geometry: DataFrame,
     cross_source: DataFrame | None = None,
 ) -> DataFrame:
+    facts = lineage_facts(latest)
     out = geometry_check(latest, geometry)
     for part in (
-        coverage_check(latest, indicators),
-        unit_check(latest, indicators),
-        facet_check(latest),
-        year_check(latest),
+        coverage_check(facts, indicators),
+        unit_check(facts, indicators),
+        facet_check(facts),
+        year_check(facts),
     ):
         out = out.unionByName(part)
     if cross_source is not None:

@@ -101,23 +101,24 @@ def coverage_grid(spark, sf):
 @query(
     "coverage_grid_wide",
     with_tables(
-        "cust_year settings panel grid",
+        "supp_wide supp_year settings panel grid",
         "SELECT indicator_key, place_id, "
         + ", ".join(
-            f"CAST(max(CASE WHEN period = {y} THEN o END) AS BIGINT) AS y{y}"
+            f"CAST(coalesce(max(CASE WHEN period = {y} THEN o END), -1) AS BIGINT) AS y{y}"
             for y in range(1995, 2002)
         )
         + """ FROM (SELECT g.*, CASE WHEN p.period IS NULL THEN 0 ELSE 1 END AS o
         FROM grid g LEFT JOIN panel p USING (indicator_key, place_id, period)) GROUP BY ALL""",
-        {**CTE, "panel": "SELECT * FROM cust_year"},
+        {**CTE, "panel": "SELECT * FROM supp_year WHERE period < 2001"},
     ),
 )
 def coverage_grid_wide(spark, sf):
     years = list(range(1995, 2002))
-    grid = coverage.coverage_grid(panels.cust_year(spark, sf), panels.settings(spark))
+    panel = panels.supp_year(spark, sf).where(F.col("period") < 2001)
+    grid = coverage.coverage_grid(panel, panels.settings(spark))
     wide = coverage.coverage_grid_wide(grid, years)
     return wide.select(
-        INDICATOR, "place_id", *[F.col(str(y)).cast("bigint").alias(f"y{y}") for y in years]
+        INDICATOR, "place_id", *[F.coalesce(F.col(str(y)), F.lit(-1)).cast("bigint").alias(f"y{y}") for y in years]
     )
 
 
@@ -327,10 +328,10 @@ _PULL = {
 }
 
 
-def _pull(spark, sf):
+def _pull(spark, sf, examples=True):
     latest, wanted = panels.latest_point(spark, sf), panels.pulls(spark)
     facts = quality.pull_facts(latest, wanted, _ID)
-    found = quality.pull_findings(latest, wanted, _ID, facts=facts)
+    found = quality.pull_findings(latest, wanted, _ID, facts=facts, examples=examples)
     return latest, wanted, facts, found
 
 
@@ -373,7 +374,7 @@ def pull_examples(spark, sf):
     with_tables("latest_point pulls facts found states", "SELECT * FROM states", _PULL),
 )
 def pull_status(spark, sf):
-    _, wanted, facts, found = _pull(spark, sf)
+    _, wanted, facts, found = _pull(spark, sf, examples=False)
     return quality.pull_status(facts, found, wanted).drop("error")
 
 
@@ -387,7 +388,7 @@ def pull_status(spark, sf):
     ),
 )
 def pull_status_summary(spark, sf):
-    _, wanted, facts, found = _pull(spark, sf)
+    _, wanted, facts, found = _pull(spark, sf, examples=False)
     return quality.status_summary(quality.pull_status(facts, found, wanted))
 
 
@@ -403,7 +404,7 @@ def pull_status_summary(spark, sf):
     ),
 )
 def sources_report(spark, sf):
-    _, wanted, facts, found = _pull(spark, sf)
+    _, wanted, facts, found = _pull(spark, sf, examples=False)
     status = quality.pull_status(facts, found, wanted)
     df = quality.sources_report(panels.pull_sources(spark), status)
     return df.withColumn("n_places", F.coalesce("n_places", F.lit(-1).cast("bigint")))

@@ -785,7 +785,7 @@ def named_movers(spark, sf):
     panel = panels.supp_year(spark, sf)
     indicators = panels.settings(spark)
     places, _ = convergence.endpoint_values(panel, convergence.series_endpoints(panel))
-    movers, _ = convergence.convergence_movers(settle(places), indicators)
+    movers, _ = convergence.convergence_movers(places, indicators)
     scored = _priority(spark, sf).scored.drop("priority_rank", "priority_total")
     placed = priority.priority_positions(
         scored.withColumn("priority_score", F.round("priority_score", 9))

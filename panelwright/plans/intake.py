@@ -132,9 +132,9 @@ _ROWS = {
         CASE WHEN n_regionkey = 0 THEN 'NA' WHEN n_regionkey = 1 THEN NULL ELSE 'R' || n_regionkey END AS region,
         n_name FROM nation""",
     "source_rows": """SELECT CASE WHEN n_nationkey % 9 = 8 THEN code || 'X' ELSE code END AS iso, n_nationkey,
-        CAST(year(o_orderdate) AS VARCHAR) AS date, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS value
+        CAST(year(o_orderdate) AS VARCHAR) AS date, 'OR.' || o_orderstatus || '.X' AS code_x, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS value
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN country_rows ON c_nationkey = n_nationkey""",
-    "usable": """SELECT 'country/' || upper(iso) AS place_id, date, value FROM source_rows JOIN country_rows USING (n_nationkey)
+    "usable": """SELECT 'country/' || upper(iso) AS place_id, date, value, code_x FROM source_rows JOIN country_rows USING (n_nationkey)
         WHERE value IS NOT NULL AND length(iso) = 3 AND region IS DISTINCT FROM 'NA'""",
 }
 
@@ -165,6 +165,7 @@ def _second_source(spark, sf):
             "countryiso3code",
             F.year("o_orderdate").cast("string").alias("date"),
             F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"),
+            F.concat(F.lit("worldbank/OR."), "o_orderstatus", F.lit(".X")).alias("variable_id"),
         )
     )
 
@@ -205,20 +206,25 @@ def usable_rows(spark, sf):
 
 def _second_source_meta(spark):
     return literal_table(
-        spark, [("orders/price", "worldbank/OR.PRC.X", "USD", "US dollars", "worldbank", None)],
+        spark,
+        [
+            ("orders/OR.F.X", "worldbank/OR.F.X", "USD", "US dollars", "worldbank", None),
+            ("orders/OR.O.X", "worldbank/OR.O.X", "USD", "US dollars", "worldbank", None),
+            ("orders/OR.P.X", "worldbank/OR.P.X", "USD", "US dollars", "worldbank", None),
+        ],
         "indicator_key string, variable_id string, unit string, unit_display string, "
         "source_agency string, dimensions map<string,string>",
     )
 
 
 def _second_source_long(spark, sf):
-    rows = _usable(spark, sf).withColumn("variable_id", F.lit("worldbank/OR.PRC.X"))
-    return observations.with_second_source_facet(rows, _second_source_meta(spark))
+    meta = _second_source_meta(spark)
+    return observations.with_second_source_facet(_usable(spark, sf), meta)
 
 
-_LONG_COLUMNS = """'orders/price' AS indicator_key, place_id, CAST(date AS BIGINT) AS period, date, value,
-    'USD' AS unit, 'worldBank/WDI' AS provenance_id, 'https://data.worldbank.org/indicator/OR.PRC.X' AS provenance_url,
-    'worldbank/OR.PRC.X' AS facet_id"""
+_LONG_COLUMNS = """'orders/' || code_x AS indicator_key, place_id, CAST(date AS BIGINT) AS period, date, value,
+    'USD' AS unit, 'worldBank/WDI' AS provenance_id, 'https://data.worldbank.org/indicator/' || code_x AS provenance_url,
+    'worldbank/' || code_x AS facet_id"""
 
 
 def _long_columns(df):
@@ -232,7 +238,7 @@ def _long_columns(df):
     "second_source_latest",
     with_tables(
         "country_rows source_rows usable",
-        f"""SELECT {_LONG_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY date DESC, value)
+        f"""SELECT {_LONG_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY place_id, code_x ORDER BY date DESC, value)
         AS rn FROM usable) WHERE rn = 1""",
         _ROWS,
     ),
@@ -246,7 +252,7 @@ def second_source_latest(spark, sf):
     with_tables(
         "country_rows source_rows usable user_day",
         """SELECT indicator_key, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM (
-        SELECT 'orders/price' AS indicator_key, date FROM usable UNION ALL
+        SELECT 'orders/' || code_x AS indicator_key, date FROM usable UNION ALL
         SELECT indicator_key, date FROM user_day) GROUP BY ALL""",
         _ROWS,
     ),

@@ -494,7 +494,7 @@ def _movers_sql(name: str, order: str) -> str:
 )
 def convergence_movers(spark, sf):
     _, places = _ends(spark, sf)
-    movers, _ = convergence.convergence_movers(settle(places), panels.settings(spark))
+    movers, _ = convergence.convergence_movers(places, panels.settings(spark))
     return movers.withColumns(
         {c: rounded(c) for c in ("base_value", "end_value", "change", "improvement")}
     )
@@ -511,5 +511,5 @@ def convergence_movers(spark, sf):
 )
 def convergence_pools(spark, sf):
     _, places = _ends(spark, sf)
-    _, pools = convergence.convergence_movers(settle(places), panels.settings(spark))
+    _, pools = convergence.convergence_movers(places, panels.settings(spark))
     return pools.select("indicator_key", "n_behind", rounded("behind_threshold"))

@@ -132,7 +132,7 @@ def empty_responses(rows: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested variables without a single row: an error, never "no data"."""
     return (
         requested.select(INDICATOR, "variable_id")
-        .join(rows.select("variable_id"), "variable_id", "left_anti")
+        .join(rows.select("variable_id").distinct(), "variable_id", "left_anti")
         .select(
             INDICATOR,
             F.lit("error").alias("level"),
@@ -288,7 +288,7 @@ def write_snapshot(
 ) -> DataFrame:
     """Writes payloads by indicator and the place names; returns what was skipped as empty."""
     encode_points(latest).write.mode("overwrite").partitionBy(INDICATOR).json(f"{path}/points")
-    used = names.join(latest.select("place_id"), "place_id", "left_semi")
+    used = names.join(latest.select("place_id").distinct(), "place_id", "left_semi")
     used.where(F.col("place_name") != "").write.mode("overwrite").json(f"{path}/place_names")
     return empty_responses(latest, requested)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folders: dict[str, str] = {}
+
 
 def staging_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
@@ -15,13 +18,12 @@ def staging_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="panelwright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="panelwright-")
+    return _own_folders[context.applicationId]
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -30,7 +32,8 @@ def settle(df: DataFrame) -> DataFrame:
     Used where a result is read by several passes, or where it must not change between two
     uses (range bounds, for one, are sampled). The scan survives lost executors, reads only
     the columns a pass needs, and has a true size, so Spark chooses a broadcast join only
-    when the table is below ``spark.sql.autoBroadcastJoinThreshold``.
+    when the table is below ``spark.sql.autoBroadcastJoinThreshold``. What was written stays
+    until the folder is cleaned, as checkpoints do.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark).rstrip('/')}/panelwright/{uuid.uuid4().hex}"
