@@ -98,17 +98,22 @@ def _panel(spark, sf):
     )
 
 
+def _fitted(panel):
+    """Trends with slopes that are equal up to the last bits made equal, as in the SQL."""
+    return trend.fit_trends(panel).withColumn("slope", F.round("slope", 9))
+
+
 def _show_anomalies(df):
     return df.select(
         "indicator_key", "place_id", "kind", "date", rounded("value", 4), rounded("prior_value", 4),
-        "prior_date", rounded("change", 4), rounded("score", 4), "detail",
+        "prior_date", rounded("change", 4), rounded("score"), "detail",
     )
 
 
 def _anomaly_sql(kind: str, table: str, detail: str, score: str = "score", chg: str = "change") -> str:
     return f"""SELECT indicator_key, place_id, '{kind}' AS kind, date, round(value, 4) AS value,
         round(prior_value, 4) AS prior_value, prior_date, round({chg}, 4) AS change,
-        round({score}, 4) AS score, {detail} AS detail FROM {table}"""
+        round({score}, 6) AS score, {detail} AS detail FROM {table}"""
 
 
 SPIKE_SQL = _anomaly_sql(
@@ -130,12 +135,12 @@ INTERP_SQL = _anomaly_sql(
     "CAST(n AS DOUBLE)", "value - prior_value",
 )
 REVERSAL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY indicator_key ORDER BY abs(slope) DESC, place_id)
-    AS pos FROM trends JOIN settings USING (indicator_key)
+    AS pos FROM (SELECT * REPLACE (round(slope, 9) AS slope) FROM trends) JOIN settings USING (indicator_key)
     WHERE (polarity = 'higher_is_better' AND slope < 0 AND slope + half < 0)
        OR (polarity = 'lower_is_better' AND slope > 0 AND slope - half > 0)) WHERE pos <= 8"""
 REVERSAL_SQL = """SELECT indicator_key, place_id, 'reversal' AS kind, '' AS date, CAST(NULL AS DOUBLE) AS value,
     CAST(NULL AS DOUBLE) AS prior_value, CAST(NULL AS VARCHAR) AS prior_date, CAST(NULL AS DOUBLE) AS change,
-    round(abs(slope), 4) AS score, 'Moving ' || CASE WHEN polarity = 'higher_is_better' THEN 'down' ELSE 'up' END
+    round(abs(slope), 6) AS score, 'Moving ' || CASE WHEN polarity = 'higher_is_better' THEN 'down' ELSE 'up' END
     || ' over its full reporting history (' || printf('%+.2f', slope)
     || ' per year), not just noise in a single year.' AS detail FROM reversals"""
 
@@ -206,7 +211,7 @@ def interpolated_runs(spark, sf):
     ),
 )
 def reversals(spark, sf):
-    trends = trend.fit_trends(_panel(spark, sf))
+    trends = _fitted(_panel(spark, sf))
     return _show_anomalies(anomaly.detect_reversals(trends, panels.settings(spark)))
 
 
@@ -224,7 +229,7 @@ _ALL_EXTRA = {
 @query("anomalies_all", with_tables(_ALL_TABLES, _ALL_ANOMALIES, _ALL_EXTRA))
 def anomalies_all(spark, sf):
     panel = panels.user_day(spark, sf)
-    trends = trend.fit_trends(panel)
+    trends = _fitted(panel)
     return _show_anomalies(anomaly.detect_anomalies(panel, panels.settings(spark), trends))
 
 
@@ -258,7 +263,7 @@ def _last(panel):
 def anomaly_summary(spark, sf):
     panel = panels.user_day(spark, sf)
     indicators = panels.settings(spark)
-    found = anomaly.detect_anomalies(panel, indicators, trend.fit_trends(panel))
+    found = anomaly.detect_anomalies(panel, indicators, _fitted(panel))
     found = found.withColumn("change", F.round("change", 4))
     focus = priority.default_focus(_last(panel), indicators)
     return anomaly.anomaly_summary(found, panels.user_names(spark, sf), focus)
@@ -378,7 +383,7 @@ def _progress(spark, sf):
         """SELECT indicator_key, place_id, round(latest_value, 4) AS latest_value,
         CAST(latest_year AS BIGINT) AS latest_year,
         round(sg * (target_value - latest_value), 4) AS gap, round(slope, 6) AS slope,
-        CASE WHEN projected_year = 'inf'::DOUBLE THEN 999999 ELSE round(projected_year, 2) END AS projected_year,
+        CASE WHEN projected_year = 'inf'::DOUBLE THEN 999999 ELSE round(projected_year, 6) END AS projected_year,
         coalesce(CAST(projected_year <= target_year AS VARCHAR), 'unknown') AS on_track FROM progress""",
         _PROGRESS_EXTRA,
     ),
@@ -388,7 +393,7 @@ def progress(spark, sf):
     return _progress(spark, sf).select(
         "indicator_key", "place_id", rounded("latest_value", 4), whole("latest_year"),
         rounded("gap", 4), rounded("slope"),
-        F.when(year == float("inf"), 999999.0).otherwise(F.round(year, 2)).alias("projected_year"),
+        F.when(year == float("inf"), 999999.0).otherwise(F.round(year, 6)).alias("projected_year"),
         F.coalesce(F.col("on_track").cast("string"), F.lit("unknown")).alias("on_track"),
     )
 
