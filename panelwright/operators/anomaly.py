@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.order_stats import largest_group, top_per_key
 from panelwright.functions.text import fixed, signed
-from panelwright.operators.change import change_from_previous, change_scales, robust_scale
+from panelwright.operators.change import (
+    change_from_previous,
+    change_scales,
+    robust_scale,
+    with_own_scale,
+)
 from panelwright.schema import (
     INDICATOR,
     INTERPOLATED_DETAIL,
     KIND_LABELS,
-    MAD_TO_SIGMA,
     PEER_DETAIL,
     REVERSAL_DETAIL,
     SERIES,
@@ -64,13 +68,10 @@ def detect_spikes(
     changes: DataFrame, scales: DataFrame, k: float = 3.5, min_obs: int = 6, top_n: int = 8
 ) -> DataFrame:
     """Changes unusual for the place itself, against its own typical change."""
-    series = Window.partitionBy(*SERIES)
-    own = (
-        changes.withColumn("_count", F.count("change").over(series))
-        .where(F.col("_count") >= min_obs)
-        .withColumn("_centre", F.median("change").over(series))
-        .withColumn("_away", F.abs(F.col("change") - F.col("_centre")))
-        .withColumn("_scale", F.lit(MAD_TO_SIGMA) * F.median("_away").over(series))
+    if "own_scale" not in changes.columns:
+        changes = with_own_scale(changes)
+    own = changes.where(F.col("own_count") >= min_obs).withColumnsRenamed(
+        {"own_centre": "_centre", "own_scale": "_scale"}
     )
     found = _flag_departures(own, scales, k, top_n)
     way = F.when(F.col("change") > 0, "jumped up").otherwise("dropped")
@@ -212,7 +213,7 @@ def detect_anomalies(
     top_n: int = 8,
 ) -> DataFrame:
     """All four detectors. The changes are written once and read by three of them."""
-    changes = settle(change_from_previous(panel))
+    changes = settle(with_own_scale(change_from_previous(panel)))
     largest = largest_group(changes, [INDICATOR])
     scales = change_scales(changes, largest)
     found = (

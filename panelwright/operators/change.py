@@ -51,6 +51,22 @@ def change_from_previous(panel: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def with_own_scale(changes: DataFrame) -> DataFrame:
+    """Adds each series' number of changes, their median and robust scale.
+
+    Right after ``change_from_previous`` the rows are already partitioned by series, so this
+    costs no shuffle; later it costs one.
+    """
+    series = Window.partitionBy(*SERIES)
+    return (
+        changes.withColumn("own_count", F.count("change").over(series))
+        .withColumn("own_centre", F.median("change").over(series))
+        .withColumn("_away", F.abs(F.col("change") - F.col("own_centre")))
+        .withColumn("own_scale", F.lit(MAD_TO_SIGMA) * F.median("_away").over(series))
+        .drop("_away")
+    )
+
+
 def robust_scale(
     df: DataFrame,
     keys: Sequence[str],

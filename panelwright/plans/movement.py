@@ -178,7 +178,9 @@ def anomaly_scales(spark, sf):
 
 @query("spikes", with_tables(YOY + " spike_z spikes", SPIKE_SQL, CTE))
 def spikes(spark, sf):
-    changes = _changes(spark, sf)
+    changes = settle(
+        change.with_own_scale(change.change_from_previous(panels.user_day(spark, sf)))
+    )
     return _show_anomalies(anomaly.detect_spikes(changes, change.change_scales(changes)))
 
 

@@ -38,10 +38,14 @@ def test_change_and_grid_shuffle_once(spark, indicators):
 
 
 def test_scales_are_broadcast_and_rows_stay_where_they_are(spark):
-    changes = change.settle(change.change_from_previous(panels.user_day(spark, SF)))
+    changes = change.with_own_scale(change.change_from_previous(panels.user_day(spark, SF)))
+    # The panel's own shuffle and one on the series: the statistics need no other.
+    assert plan(changes).count("Exchange hashpartitioning") == 2
+    changes = change.settle(changes)
     text = plan(anomaly.detect_spikes(changes, change.change_scales(changes)))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
-    assert text.count("Exchange hashpartitioning") == 2
+    # The worst change per place, then the worst places: both combined before the shuffle.
+    assert text.count("Exchange hashpartitioning") == 2 and "partial_max_by" in text
 
 
 def test_scans_read_only_what_they_need(spark):
