@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.order_stats import top_per_key
 from panelwright.functions.text import fixed
+from panelwright.operators.change import known
 from panelwright.schema import DISAGREEMENT_POINTS, INDICATOR, SERIES
 from panelwright.staging import settle
 
@@ -252,7 +253,7 @@ def cross_source_agreement(
     points: DataFrame, threshold: float = DISAGREEMENT_POINTS
 ) -> DataFrame:
     """Shared places within ``threshold`` of each other, and the worst of the others."""
-    rows = points.where(F.col("left_value").isNotNull() & F.col("right_value").isNotNull())
+    rows = points.where(known("left_value") & known("right_value"))
     rows = rows.withColumn("_gap", F.abs(F.col("left_value") - F.col("right_value")))
     worst = top_per_key(
         rows.where(F.col("_gap") > threshold),
@@ -285,7 +286,7 @@ def disagreements(points: DataFrame, threshold: float = DISAGREEMENT_POINTS) ->
         "place_id", "left_value", "right_value", "left_date", "right_date", "same_year"
     )
     return (
-        points.where(size > threshold)
+        points.where(known("difference") & (size > threshold))
         .groupBy(*PAIR)
         .agg(
             F.count("*").alias("n_disagreeing"),

@@ -117,7 +117,8 @@ def facet_check(facts: Facts) -> DataFrame:
     """Share of values from the dominant facet.
 
     Offenders are all facets but the alphabetically first; ``non_dominant_facets`` lists the
-    others properly.
+    others properly. The list holds distinct facets, of which an indicator has a few however
+    many rows it has.
     """
     rows = facts.facets.groupBy(INDICATOR).agg(
         F.max("_n").alias("_max"),

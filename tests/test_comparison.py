@@ -125,6 +125,9 @@ def test_disagreements_are_strict_and_name_the_worst(spark):
     r = compare.disagreements(points(spark, ROWS + [("E", "2020", 0.0, "2020", 10.0)])).first()
     assert (r.n_disagreeing, r.place_id, r.left_value, r.right_value) == (1, "C", 50.0, 75.0)
     assert compare.disagreements(points(spark, ROWS[:2])).count() == 0
+    nan = points(spark, ROWS[:2] + [("N", "2020", math.nan, "2020", 1.0)])
+    assert compare.disagreements(nan).count() == 0
+    assert compare.cross_source_agreement(nan).first().total == 2
 
 
 # ---- priority ----
