@@ -60,7 +60,10 @@ def compute_archetypes(
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     columns = list(columns)
-    clean = settle(features.select("place_id", *columns).na.drop())
+    # K-means starts depend on the order of rows: a fixed one makes the same data give the same
+    # groups, whatever order a shuffle delivered it in.
+    clean = features.select("place_id", *columns).na.drop()
+    clean = settle(clean.repartition("place_id").sortWithinPartitions("place_id"))
     n = clean.count()
     candidates = [k] if k is not None else list(k_range)
     if n < min(k_range):
