@@ -118,7 +118,7 @@ def _sketch(order: np.ndarray):
         group = (values >> np.uint64(40)).astype(np.int64) % GROUPS
         counts = np.bincount(of * GROUPS + group, minlength=w.texts * GROUPS).astype(np.int32)
         rank = (order[_slot(values)] << np.uint64(58)) | (values >> np.uint64(6))
-        by = np.lexsort((rank, of))
+        by = W.order_within(of, rank)
         place = np.arange(len(values)) - np.repeat(at[:-1], n)
         roots = np.where(n > 0, n - least_common(n) + 1, 0)
         chosen = values[by][place < np.repeat(roots, n)]
@@ -142,6 +142,22 @@ def _sketch(order: np.ndarray):
     return run
 
 
+def _branches(full: DataFrame) -> DataFrame:
+    """``root, band, cid``: the points below each root, in bands of size, where they aren't alone.
+
+    Two sets can only be linked if their sizes are in one band or in neighbouring ones, so each
+    point is in its own band and in the next.
+    """
+    below = full.select("cid", "n", F.explode("roots").alias("root"))
+    ends = [F.min("cid").alias("lo"), F.max("cid").alias("hi")]
+    shared = below.groupBy("root").agg(*ends).filter("lo <> hi").select("root")
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    both = below.join(shared, "root").select("root", "cid", F.explode(F.array(band, band + 1)).alias("band")).distinct()
+    both = settle(both)
+    busy = both.groupBy("root", "band").agg(*ends).filter("lo <> hi").select("root", "band")
+    return both.join(busy, ["root", "band"])
+
+
 def _ceil_need(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Least overlap at which sets of these sizes are linked."""
     both = na.astype(np.int64) + nb
@@ -166,8 +182,8 @@ def _pack(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        root = batch.column("root").to_numpy()
-        fresh_root = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+        root, band = batch.column("root").to_numpy(), batch.column("band").to_numpy()
+        fresh_root = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (band[1:] != band[:-1])))
         ends = np.append(fresh_root[1:], len(root))
         cuts = [(s, min(s + LEAF, e)) for a, e in zip(fresh_root, ends) for s in range(a, e, LEAF)]
         cid, n, comp = (batch.column(c).to_numpy() for c in ("cid", "n", "comp"))
@@ -175,6 +191,7 @@ def _pack(batches):
         out = [
             (
                 root[s],
+                band[s],
                 cid[s],
                 int(n[s:e].min()),
                 int(n[s:e].max()),
@@ -186,12 +203,12 @@ def _pack(batches):
             for s, e in cuts
         ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 6 + [pa.binary()] * 2)],
-            names=["root", "leaf", "n_lo", "n_hi", "comp_lo", "comp_hi", "corner", "points"],
+            [pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 7 + [pa.binary()] * 2)],
+            names=["root", "band", "leaf", "n_lo", "n_hi", "comp_lo", "comp_hi", "corner", "points"],
         )
 
 
-_LEAF_KIND = "root long, leaf long, n_lo long, n_hi long, comp_lo long, comp_hi long, corner binary, points binary"
+_LEAF_KIND = "root long, band long, leaf long, n_lo long, n_hi long, comp_lo long, comp_hi long, corner binary, points binary"
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -264,40 +281,50 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             F.min_by(F.struct("_id", "_row"), F.col("_row")).alias("place"),
         )
     )
-    below = full.select("cid", F.explode("roots").alias("root"))
-    shared = below.groupBy("root").agg(F.min("cid").alias("pivot"), F.max("cid").alias("other")).filter("pivot <> other")
-    tree = settle(below.join(shared.select("root", "pivot"), "root").select("root", "cid", "pivot").distinct())
-
     points = classes.select("cid", "n", "counts")
-    wanted = tree.select("cid").distinct().join(classes.select("cid", "place"), "cid").select(
-        "cid", F.col("place._id").alias("_wid"), F.col("place._row").alias("_wrow")
-    )
-    found = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & F.col("_row").eqNullSafe(F.col("_wrow")))
-    members = settle(found.dropDuplicates(["cid"]).select("cid", "text").mapInArrow(_whole_sets, "cid long, members binary"))
+    tree = settle(_branches(full))
+
+    def members(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the points in ``pairs``, read again from one text of each."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        place = settle(
+            wanted.join(classes.select("cid", "place"), "cid").select(
+                "cid", F.col("place._id").alias("_wid"), F.col("place._row").alias("_wrow")
+            )
+        )
+        found = rows.join(place, F.col("_id").eqNullSafe(F.col("_wid")) & F.col("_row").eqNullSafe(F.col("_wrow")))
+        one = found.select("cid", "text").mapInArrow(_whole_sets, "cid long, members binary")
+        return settle(one.dropDuplicates(["cid"]))
 
-    first = tree.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    # a first round against one pivot of each branch
+    pivots = tree.groupBy("root", "band").agg(F.min("cid").alias("a"))
+    first = tree.join(pivots, ["root", "band"]).filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
     sized = first.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b")
     near = sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb", "ca", "cb")
-    links = settle(_linked(near.mapInArrow(_bounded_pairs, "a long, b long"), members))
+    near = settle(near.mapInArrow(_bounded_pairs, "a long, b long"))
+    links = settle(_linked(near, members(near)))
     roots = settle(components(links))
 
+    # then the trees, for what isn't connected yet
     labelled = tree.join(roots.toDF("cid", "label"), "cid", "left").select(
-        "root", "cid", F.coalesce("label", "cid").alias("comp")
-    )
-    open_roots = labelled.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    placed = labelled.join(open_roots.select("root"), "root").join(points, "cid").select("root", "cid", "n", "comp", "counts")
-    leaves = settle(
-        placed.repartitionByRange("root", "n", "cid").sortWithinPartitions("root", "n", "cid").mapInArrow(_pack, _LEAF_KIND)
+        "root", "band", "cid", F.coalesce("label", "cid").alias("comp")
     )
-    a = leaves.select("root", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[1:]])
-    b = leaves.select("root", *[F.col(c).alias(f"{c}_b") for c in leaves.columns[1:]])
-    meet = a.join(b, "root").filter(
+    apart = labelled.groupBy("root", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    placed = labelled.join(apart.select("root", "band"), ["root", "band"]).join(points, "cid")
+    order = ["root", "band", "n", "cid"]
+    leaves = settle(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, _LEAF_KIND))
+    a = leaves.select("root", "band", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[2:]])
+    b = leaves.select("root", "band", *[F.col(c).alias(f"{c}_b") for c in leaves.columns[2:]])
+    meet = a.join(b, ["root", "band"]).filter(
         f"(n_lo_a, leaf_a) <= (n_lo_b, leaf_b) and 100 * n_hi_a >= {PERCENT} * n_lo_b and 100 * n_hi_b >= {PERCENT} * n_lo_a "
         "and not (comp_lo_a = comp_hi_a and comp_lo_b = comp_hi_b and comp_lo_a = comp_lo_b)"
     )
-    pairs = meet.select("points_a", "points_b", "corner_b").mapInArrow(_search, "a long, b long").distinct()
-    more = settle(_linked(pairs, members))
-    final = components(links.union(more)) if not more.isEmpty() else roots
+    pairs = settle(meet.select("points_a", "points_b", "corner_b").mapInArrow(_search, "a long, b long").distinct())
+    final = roots
+    if not pairs.isEmpty():
+        known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
+        final = components(links.union(_linked(pairs, members(pairs))))
 
     named = classes.select("cid", "least").join(final.toDF("cid", "label"), "cid", "left").select(
         "cid", "least", F.coalesce("label", "cid").alias("label")

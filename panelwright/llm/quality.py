@@ -121,7 +121,7 @@ def measures(w: W.Words, ratio: np.ndarray) -> tuple[np.ndarray, ...]:
     start = W.runs(w.first, 5)
     of = w.text_of
     window, owner = W.shingle_hashes(h, start, 5), of[start]
-    order = np.lexsort((window, owner))
+    order = W.order_within(owner, window)
     same = (window[order][1:] == window[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     again = np.zeros(len(start), bool)
     again[order[1:][same]] = True

@@ -153,9 +153,18 @@ def shingle_hashes(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def order_within(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by group, then value. Short group numbers are sorted by radix."""
+    by_value = np.argsort(values)
+    own = groups[by_value]
+    if len(own) and own.max() < 1 << 16:
+        own = own.astype(np.uint16)
+    return by_value[np.argsort(own, kind="stable")]
+
+
 def regroup(groups: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each group, ascending, and where each group's values start."""
-    order = np.lexsort((values, groups))
+    order = order_within(groups, values)
     groups, values = groups[order], values[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (groups[1:] != groups[:-1])
