@@ -104,5 +104,6 @@ def _arrow(kind: T.DataType) -> pa.DataType:
         "array<bigint>": pa.list_(pa.int64()),
         "array<int>": pa.list_(pa.int32()),
         "array<double>": pa.list_(pa.float64()),
+        "array<string>": pa.list_(pa.string()),
     }
     return simple[kind.simpleString()]

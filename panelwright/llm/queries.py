@@ -1,6 +1,17 @@
 """All registered queries of the subpackage."""
 
-from panelwright.llm import decontaminate, jaccard, line_dedup, mixing, quality, sharding  # noqa: F401
+from panelwright.llm import (  # noqa: F401
+    chat,
+    decontaminate,
+    jaccard,
+    kneser_ney,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    token_files,
+)
 from panelwright.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
