@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +44,24 @@ def _features(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([one, two]), np.concatenate([of, of[pairs]])
 
 
-def _count(batches):
+def _count(trusted: pa.Array):
     """Feature counts of a task: all documents and trusted documents."""
-    total = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
-        trusted = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
-        for a, b, w in W.chunks(batch.column(0), False):
-            bucket, of = _features(w.hashes(), w.first)
-            total[0] += np.bincount(bucket, minlength=BUCKETS)
-            total[1] += np.bincount(bucket[trusted[a:b][of]], minlength=BUCKETS)
-    seen = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(seen.astype(np.int32)), pa.array(total[0, seen]), pa.array(total[1, seen])],
-        names=["bucket", "raw", "trusted"],
-    )
+
+    def run(batches):
+        total = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            good = pc.is_in(batch.column(1), value_set=trusted).to_numpy(zero_copy_only=False)
+            for a, b, w in W.chunks(batch.column(0), False):
+                bucket, of = _features(w.hashes(), w.first)
+                total[0] += np.bincount(bucket, minlength=BUCKETS)
+                total[1] += np.bincount(bucket[good[a:b][of]], minlength=BUCKETS)
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen.astype(np.int32)), pa.array(total[0, seen]), pa.array(total[1, seen])],
+            names=["bucket", "raw", "trusted"],
+        )
+
+    return run
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_BOUND) -> DataFrame:
@@ -68,15 +73,13 @@ def trusted_ids(labels: DataFrame, bound: int = TRUSTED_BOUND) -> DataFrame:
 def fit(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
     """``ln(p_trusted / p_raw)`` of every bucket.
 
-    ``trusted`` has at most TRUSTED_BOUND ids, so joining it moves no text. What reaches the
-    driver is one row for each bucket.
+    ``trusted`` has at most TRUSTED_BOUND ids, which go to the tasks as they are, so no text is
+    moved. What comes back to the driver is one row for each bucket.
     """
-    marked = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
-        trusted.select(F.col("doc_id").alias("good")).distinct(), F.col("id") == F.col("good"), "left"
-    )
+    ids = trusted.select("doc_id").distinct().toArrow()["doc_id"].combine_chunks()
     counts = (
-        marked.select("text", F.col("good").isNotNull().alias("is_trusted"))
-        .mapInArrow(_count, "bucket int, raw long, trusted long")
+        docs.select(F.col(text_column).alias("text"), F.col(id_column).alias("id"))
+        .mapInArrow(_count(ids), "bucket int, raw long, trusted long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
         .toPandas()
