@@ -9,8 +9,9 @@ verified on the whole sets, so the result has exactly the links with
 
 Boxes of random counts overlap too much to keep far nodes of one huge tree apart, so the root
 fans out first: sets that reach the similarity share one of their few rarest shingles (the prefix
-filter), and below each such shingle there is one tree of packed leaves. The order of rarity comes
-from a count table of fixed size over all documents; any order gives the same result. Equal sets
+filter), and below each such shingle there is one tree of packed leaves. A shingle counts as rarer
+the less its words occur in all documents, by a count table of fixed size; any order gives the same
+result. Equal sets
 are one point. Very common shingles order last, so they are rarely a root. Only the connected
 groups are asked for, so a first round links every point below a root to one pivot where that is
 right, and the trees then search for links between points not connected yet: thousands of near
@@ -35,16 +36,19 @@ from panelwright.llm.components import components
 
 SHINGLE = 3
 PERCENT = 90
-GROUPS = 32
-#: Slots of the table of shingle counts.
+GROUPS = 64
+#: Slots of the table of word counts.
 SLOTS = 1 << 18
 _BLOCK = 1 << 12
 #: Points of a leaf.
 LEAF = 256
+#: Counts from here on are taken as without limit, which keeps bounds right.
+FULL = (1 << 8) - 1
 
 
-def sets(w: W.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, ascending, and where each text's begin."""
+def sets(w: W.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending, where each text's begin, and the first word
+    of each."""
     h = w.hashes()
     at = W.runs(w.first, k)
     value, of = W.shingle_hashes(h, at, k), w.text_of[at]
@@ -53,18 +57,20 @@ def sets(w: W.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         short = np.flatnonzero(counts == few)
         value = np.concatenate([value, W.shingle_hashes(h, w.first[short], few)])
         of = np.concatenate([of, short])
-    return W.regroup(of, value, w.texts)
+        at = np.concatenate([at, w.first[short]])
+    values, starts, index = W.regroup(of, value, w.texts)
+    return values, starts, at[index]
 
 
-def _slot(values: np.ndarray) -> np.ndarray:
-    return (values & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def _count_slots(batches):
     table = np.zeros(SLOTS, np.int64)
     for batch in batches:
         for _, _, w in W.chunks(batch.column(0), True):
-            table += np.bincount(_slot(sets(w)[0]), minlength=SLOTS)
+            table += np.bincount(_slot(w.hashes()), minlength=SLOTS)
     blocks = table.reshape(-1, _BLOCK)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
@@ -82,7 +88,7 @@ def _add_blocks(table: pa.Table) -> pa.Table:
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """For each slot the power of two of how often its shingles occur, in all documents.
+    """For each slot the power of two of how often its words occur, in all documents.
 
     A task sends its table in blocks, whatever it read; blocks are added in two steps.
     """
@@ -101,23 +107,32 @@ def least_common(size: np.ndarray) -> np.ndarray:
     return -(-PERCENT * size // 100)
 
 
+def _class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each whole set; 0 for the empty one."""
+    n = np.diff(at)
+    full = np.flatnonzero(n)
+    cid = np.zeros(len(n), np.uint64)
+    if len(full):
+        total = np.add.reduceat(W.mix(values), at[full])
+        other = np.bitwise_xor.reduceat(values, at[full])
+        cid[full] = W.mix(total ^ W.mix(other + n[full].astype(np.uint64)))
+    return cid
+
+
 def _sketch(order: np.ndarray):
     """Rows ``_id, _row, n, cid, counts, roots`` of texts: see ``sketches``."""
 
     def one(w: W.Words) -> list[pa.Array]:
-        values, at = sets(w)
+        values, at, word = sets(w)
         n = np.diff(at)
         of = np.repeat(np.arange(w.texts), n)
-        full = np.flatnonzero(n)
-        mixed = W.mix(values)
-        cid = np.zeros(w.texts, np.uint64)
-        if len(full):
-            total = np.add.reduceat(mixed, at[full])
-            other = np.bitwise_xor.reduceat(values, at[full])
-            cid[full] = W.mix(total ^ W.mix(other + n[full].astype(np.uint64)))
+        cid = _class_ids(values, at)
         group = (values >> np.uint64(40)).astype(np.int64) % GROUPS
-        counts = np.bincount(of * GROUPS + group, minlength=w.texts * GROUPS).astype(np.int32)
-        rank = (order[_slot(values)] << np.uint64(58)) | (values >> np.uint64(6))
+        counts = np.bincount(of * GROUPS + group, minlength=w.texts * GROUPS).clip(max=FULL).astype(np.uint8)
+        common = order[_slot(w.hashes())]
+        last = np.minimum(word + SHINGLE, w.first[of + 1]) - 1
+        level = sum(common[np.minimum(word + i, last)] for i in range(SHINGLE))
+        rank = (level << np.uint64(56)) | (values >> np.uint64(8))
         by = W.order_within(of, rank)
         place = np.arange(len(values)) - np.repeat(at[:-1], n)
         roots = np.where(n > 0, n - least_common(n) + 1, 0)
@@ -143,7 +158,7 @@ def _sketch(order: np.ndarray):
 
 
 def _branches(full: DataFrame) -> DataFrame:
-    """``root, band, cid``: the points below each root, in bands of size, where they aren't alone.
+    """``root, band, cid, n``: the points below each root, in bands of size, where they aren't alone.
 
     Two sets can only be linked if their sizes are in one band or in neighbouring ones, so each
     point is in its own band and in the next.
@@ -152,7 +167,7 @@ def _branches(full: DataFrame) -> DataFrame:
     ends = [F.min("cid").alias("lo"), F.max("cid").alias("hi")]
     shared = below.groupBy("root").agg(*ends).filter("lo <> hi").select("root")
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
-    both = below.join(shared, "root").select("root", "cid", F.explode(F.array(band, band + 1)).alias("band")).distinct()
+    both = below.join(shared, "root").select("root", "cid", "n", F.explode(F.array(band, band + 1)).alias("band")).distinct()
     both = settle(both)
     busy = both.groupBy("root", "band").agg(*ends).filter("lo <> hi").select("root", "band")
     return both.join(busy, ["root", "band"])
@@ -166,7 +181,11 @@ def _ceil_need(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def _points(column: pa.Array) -> np.ndarray:
     data, _ = W.text_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
-    return np.frombuffer(data.tobytes(), np.int32).reshape(len(column), GROUPS)
+    return _limits(np.frombuffer(data.tobytes(), np.uint8).reshape(len(column), GROUPS))
+
+
+def _limits(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts == FULL, 1 << 40, counts.astype(np.int64))
 
 
 def _bounded_pairs(batches):
@@ -187,7 +206,7 @@ def _pack(batches):
         ends = np.append(fresh_root[1:], len(root))
         cuts = [(s, min(s + LEAF, e)) for a, e in zip(fresh_root, ends) for s in range(a, e, LEAF)]
         cid, n, comp = (batch.column(c).to_numpy() for c in ("cid", "n", "comp"))
-        points = _points(batch.column("counts"))
+        points = np.minimum(_points(batch.column("counts")), FULL).astype(np.uint8)
         out = [
             (
                 root[s],
@@ -212,9 +231,9 @@ _LEAF_KIND = "root long, band long, leaf long, n_lo long, n_hi long, comp_lo lon
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = len(blob) // (24 + 4 * GROUPS)
+    n = len(blob) // (24 + GROUPS)
     whole = np.frombuffer(blob[: 24 * n], np.int64).reshape(3, n)
-    return *whole, np.frombuffer(blob[24 * n :], np.int32).reshape(n, GROUPS)
+    return *whole, _limits(np.frombuffer(blob[24 * n :], np.uint8).reshape(n, GROUPS))
 
 
 def _search(batches):
@@ -224,7 +243,7 @@ def _search(batches):
         for x, y, box in zip(batch.column("points_a"), batch.column("points_b"), batch.column("corner_b")):
             a, na, ka, pa_ = _open(x.as_py())
             b, nb, kb, pb = _open(y.as_py())
-            corner = np.frombuffer(box.as_py(), np.int32)
+            corner = _limits(np.frombuffer(box.as_py(), np.uint8))
             # the box first: which points of one leaf can have a partner in the other at all
             reach = np.minimum(pa_, corner).sum(axis=1) >= least_common(na)
             for i in np.flatnonzero(reach):
@@ -237,12 +256,16 @@ def _search(batches):
 
 
 def _whole_sets(batches):
+    """Each set of a task once; the same set from another task only repeats a link."""
+    sent: set[int] = set()
     for batch in batches:
-        for a, b, w in W.chunks(batch.column(1), True):
-            values, at = sets(w)
-            data = [values[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
+        for _, _, w in W.chunks(batch.column(0), True):
+            values, at, _ = sets(w)
+            cid = _class_ids(values, at)
+            new = [i for i, c in enumerate(cid.tolist()) if c not in sent and not sent.add(c)]
+            data = [values[at[i] : at[i + 1]].tobytes() for i in new]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(data, pa.binary())], names=["cid", "members"]
+                [pa.array(cid[new].view(np.int64)), pa.array(data, pa.binary())], names=["cid", "members"]
             )
 
 
@@ -261,7 +284,7 @@ def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     left = members.select(F.col("cid").alias("a"), F.col("members").alias("ma"))
     right = members.select(F.col("cid").alias("b"), F.col("members").alias("mb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    return both.mapInArrow(_verify, "a long, b long")
+    return both.mapInArrow(_verify, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -278,7 +301,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             F.min("_id").alias("least"),
             F.any_value("n").alias("n"),
             F.any_value("counts").alias("counts"),
-            F.min_by(F.struct("_id", "_row"), F.col("_row")).alias("place"),
+            F.min("_row").alias("row"),
         )
     )
     points = classes.select("cid", "n", "counts")
@@ -287,33 +310,32 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     def members(pairs: DataFrame) -> DataFrame:
         """Whole sets of the points in ``pairs``, read again from one text of each."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        place = settle(
-            wanted.join(classes.select("cid", "place"), "cid").select(
-                "cid", F.col("place._id").alias("_wid"), F.col("place._row").alias("_wrow")
-            )
-        )
-        found = rows.join(place, F.col("_id").eqNullSafe(F.col("_wid")) & F.col("_row").eqNullSafe(F.col("_wrow")))
-        one = found.select("cid", "text").mapInArrow(_whole_sets, "cid long, members binary")
-        return settle(one.dropDuplicates(["cid"]))
+        place = settle(wanted.join(classes.select("cid", "row"), "cid").select(F.col("row").alias("_row")))
+        found = rows.select("_row", "text").join(place, "_row", "left_semi").select("text")
+        return settle(found.mapInArrow(_whole_sets, "cid long, members binary"))
 
     # a first round against one pivot of each branch
-    pivots = tree.groupBy("root", "band").agg(F.min("cid").alias("a"))
-    first = tree.join(pivots, ["root", "band"]).filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    pivots = tree.groupBy("root", "band").agg(F.min(F.struct("cid", "n")).alias("p"))
+    first = (
+        tree.join(pivots, ["root", "band"])
+        .filter(f"p.cid <> cid and 100 * least(n, p.n) >= {PERCENT} * greatest(n, p.n)")
+        .select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
+        .distinct()
+    )
     sized = first.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b")
-    near = sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb", "ca", "cb")
-    near = settle(near.mapInArrow(_bounded_pairs, "a long, b long"))
+    near = settle(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded_pairs, "a long, b long"))
     links = settle(_linked(near, members(near)))
     roots = settle(components(links))
 
     # then the trees, for what isn't connected yet
     labelled = tree.join(roots.toDF("cid", "label"), "cid", "left").select(
-        "root", "band", "cid", F.coalesce("label", "cid").alias("comp")
+        "root", "band", "cid", "n", F.coalesce("label", "cid").alias("comp")
     )
     apart = labelled.groupBy("root", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    placed = labelled.join(apart.select("root", "band"), ["root", "band"]).join(points, "cid")
+    placed = labelled.join(apart.select("root", "band"), ["root", "band"]).join(points.drop("n"), "cid")
     order = ["root", "band", "n", "cid"]
     leaves = settle(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, _LEAF_KIND))
-    a = leaves.select("root", "band", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[2:]])
+    a = leaves.select("root", "band", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[2:] if c != "corner"])
     b = leaves.select("root", "band", *[F.col(c).alias(f"{c}_b") for c in leaves.columns[2:]])
     meet = a.join(b, ["root", "band"]).filter(
         f"(n_lo_a, leaf_a) <= (n_lo_b, leaf_b) and 100 * n_hi_a >= {PERCENT} * n_lo_b and 100 * n_hi_b >= {PERCENT} * n_lo_a "

@@ -116,7 +116,7 @@ def measures(w: W.Words, ratio: np.ndarray) -> tuple[np.ndarray, ...]:
     worded = np.searchsorted(w.starts, line_end) > np.searchsorted(w.starts, line_start)
     line_start, line_end = line_start[worded], line_end[worded]
     line_text = np.searchsorted(offsets, line_start, "right") - 1
-    distinct, at = W.regroup(line_text, w.span_hashes(line_start, line_end), n)
+    _, at, _ = W.regroup(line_text, w.span_hashes(line_start, line_end), n)
     dup_lines = np.bincount(line_text, minlength=n) - np.diff(at)
 
     # words in five-word windows that occur again in the same text

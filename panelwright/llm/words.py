@@ -162,11 +162,12 @@ def order_within(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
     return by_value[np.argsort(own, kind="stable")]
 
 
-def regroup(groups: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each group, ascending, and where each group's values start."""
+def regroup(groups: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each group, ascending, where each group's values start, and an index at
+    which each value stood."""
     order = order_within(groups, values)
     groups, values = groups[order], values[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (groups[1:] != groups[:-1])
     groups, values = groups[fresh], values[fresh]
-    return values, np.searchsorted(groups, np.arange(n + 1))
+    return values, np.searchsorted(groups, np.arange(n + 1)), order[fresh]
