@@ -13,9 +13,9 @@ filter), and below each such shingle there is one tree of packed leaves. A shing
 the less its words occur in all documents, by a count table of fixed size; any order gives the same
 result. Equal sets
 are one point. Very common shingles order last, so they are rarely a root. Only the connected
-groups are asked for, so a first round links every point below a root to one pivot where that is
-right, and the trees then search for links between points not connected yet: thousands of near
-copies need no pairs among themselves.
+groups are asked for, so some rounds link the points below a root to one pivot where that is right,
+and the trees then search for links between all points not connected yet: thousands of near copies
+need no pairs among themselves.
 
 Lower case means A-Z. A text with fewer words than a shingle is one shingle of all of them. A null,
 empty or blank text has the empty set, is linked with nothing and forms its own group. Rows with
@@ -36,12 +36,15 @@ from panelwright.llm.components import components
 
 SHINGLE = 3
 PERCENT = 90
-GROUPS = 64
+GROUPS = 256
 #: Slots of the table of word counts.
 SLOTS = 1 << 18
 _BLOCK = 1 << 12
 #: Points of a leaf.
 LEAF = 256
+#: Rounds with one pivot for each branch, or each size in it, before the trees are searched for all
+#: that is left.
+PIVOT_ROUNDS = 4
 #: Counts from here on are taken as without limit, which keeps bounds right.
 FULL = (1 << 8) - 1
 
@@ -181,18 +184,20 @@ def _ceil_need(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 def _points(column: pa.Array) -> np.ndarray:
     data, _ = W.text_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
-    return _limits(np.frombuffer(data.tobytes(), np.uint8).reshape(len(column), GROUPS))
+    return np.frombuffer(data.tobytes(), np.uint8).reshape(len(column), GROUPS)
 
 
-def _limits(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts == FULL, 1 << 40, counts.astype(np.int64))
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of rows of counts; without limit where both counts are FULL."""
+    least = np.minimum(x, y)
+    return least.sum(axis=1, dtype=np.int64) + (least == FULL).any(axis=1) * (1 << 40)
 
 
 def _bounded_pairs(batches):
     """Of pairs of points, those whose bound allows a link."""
     for batch in batches:
         na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        most = np.minimum(_points(batch.column("ca")), _points(batch.column("cb"))).sum(axis=1)
+        most = _bound(_points(batch.column("ca")), _points(batch.column("cb")))
         yield batch.filter(pa.array(most >= _ceil_need(na, nb))).select(["a", "b"])
 
 
@@ -206,7 +211,7 @@ def _pack(batches):
         ends = np.append(fresh_root[1:], len(root))
         cuts = [(s, min(s + LEAF, e)) for a, e in zip(fresh_root, ends) for s in range(a, e, LEAF)]
         cid, n, comp = (batch.column(c).to_numpy() for c in ("cid", "n", "comp"))
-        points = np.minimum(_points(batch.column("counts")), FULL).astype(np.uint8)
+        points = _points(batch.column("counts"))
         out = [
             (
                 root[s],
@@ -233,7 +238,7 @@ _LEAF_KIND = "root long, band long, leaf long, n_lo long, n_hi long, comp_lo lon
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
     n = len(blob) // (24 + GROUPS)
     whole = np.frombuffer(blob[: 24 * n], np.int64).reshape(3, n)
-    return *whole, _limits(np.frombuffer(blob[24 * n :], np.uint8).reshape(n, GROUPS))
+    return *whole, np.frombuffer(blob[24 * n :], np.uint8).reshape(n, GROUPS)
 
 
 def _search(batches):
@@ -243,11 +248,11 @@ def _search(batches):
         for x, y, box in zip(batch.column("points_a"), batch.column("points_b"), batch.column("corner_b")):
             a, na, ka, pa_ = _open(x.as_py())
             b, nb, kb, pb = _open(y.as_py())
-            corner = _limits(np.frombuffer(box.as_py(), np.uint8))
+            corner = np.frombuffer(box.as_py(), np.uint8)
             # the box first: which points of one leaf can have a partner in the other at all
-            reach = np.minimum(pa_, corner).sum(axis=1) >= least_common(na)
+            reach = _bound(pa_, corner) >= least_common(na)
             for i in np.flatnonzero(reach):
-                far = (kb != ka[i]) & (np.minimum(pb, pa_[i]).sum(axis=1) >= _ceil_need(na[i], nb))
+                far = (kb != ka[i]) & (_bound(pb, pa_[i]) >= _ceil_need(na[i], nb))
                 if far.any():
                     other = b[far]
                     found.append(np.stack([np.minimum(other, a[i]), np.maximum(other, a[i])]))
@@ -314,25 +319,37 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         found = rows.select("_row", "text").join(place, "_row", "left_semi").select("text")
         return settle(found.mapInArrow(_whole_sets, "cid long, members binary"))
 
-    # a first round against one pivot of each branch
-    pivots = tree.groupBy("root", "band").agg(F.min(F.struct("cid", "n")).alias("p"))
-    first = (
-        tree.join(pivots, ["root", "band"])
-        .filter(f"p.cid <> cid and 100 * least(n, p.n) >= {PERCENT} * greatest(n, p.n)")
-        .select(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
-        .distinct()
-    )
-    sized = first.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b")
-    near = settle(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded_pairs, "a long, b long"))
-    links = settle(_linked(near, members(near)))
-    roots = settle(components(links))
+    # rounds against one pivot of each branch, another one each time
+    roots = links = known = None
+    labelled = tree.withColumn("comp", F.col("cid"))
+    for turn in range(PIVOT_ROUNDS):
+        pick = F.min_by(F.struct("cid", "n", "comp"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid"))
+        by = ["root", "band"] if turn % 2 else ["root", "n"]  # equal sizes first: near copies mostly are
+        pivots = labelled.groupBy(*by).agg(pick.alias("p"))
+        first = (
+            labelled.join(pivots, by)
+            .filter(f"p.comp <> comp and 100 * least(n, p.n) >= {PERCENT} * greatest(n, p.n)")
+            .select(F.least("p.cid", "cid").alias("a"), F.greatest("p.cid", "cid").alias("b"))
+            .distinct()
+        )
+        if known is not None:
+            first = first.join(known, ["a", "b"], "left_anti")
+        sized = first.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b")
+        near = settle(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded_pairs, "a long, b long"))
+        if near.isEmpty():
+            break
+        known = near if known is None else known.union(near)
+        right = settle(_linked(near, members(near)))
+        if right.isEmpty():
+            break
+        links = right if links is None else links.union(right)
+        roots = settle(components(links)).toDF("cid", "label")
+        named = tree.join(roots, "cid", "left").select("root", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
+        apart = named.groupBy("root", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        labelled = settle(named.join(apart.select("root", "band"), ["root", "band"]))
 
     # then the trees, for what isn't connected yet
-    labelled = tree.join(roots.toDF("cid", "label"), "cid", "left").select(
-        "root", "band", "cid", "n", F.coalesce("label", "cid").alias("comp")
-    )
-    apart = labelled.groupBy("root", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    placed = labelled.join(apart.select("root", "band"), ["root", "band"]).join(points.drop("n"), "cid")
+    placed = labelled.join(points.drop("n"), "cid")
     order = ["root", "band", "n", "cid"]
     leaves = settle(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, _LEAF_KIND))
     a = leaves.select("root", "band", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[2:] if c != "corner"])
@@ -342,13 +359,15 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         "and not (comp_lo_a = comp_hi_a and comp_lo_b = comp_hi_b and comp_lo_a = comp_lo_b)"
     )
     pairs = settle(meet.select("points_a", "points_b", "corner_b").mapInArrow(_search, "a long, b long").distinct())
-    final = roots
-    if not pairs.isEmpty():
-        known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if known is not None:
         pairs = pairs.join(known, ["a", "b"], "left_anti")
-        final = components(links.union(_linked(pairs, members(pairs))))
+    if not pairs.isEmpty():
+        right = _linked(pairs, members(pairs))
+        roots = components(right if links is None else links.union(right)).toDF("cid", "label")
+    if roots is None:
+        roots = classes.select("cid", F.col("cid").alias("label"))
 
-    named = classes.select("cid", "least").join(final.toDF("cid", "label"), "cid", "left").select(
+    named = classes.select("cid", "least").join(roots, "cid", "left").select(
         "cid", "least", F.coalesce("label", "cid").alias("label")
     )
     ids = named.groupBy("label").agg(F.min("least").alias("component"))
