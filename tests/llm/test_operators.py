@@ -123,7 +123,12 @@ def test_quality_measures_agree_with_plain_counts(docs):
 def test_quality_rejects_junk_and_keeps_what_is_like_the_trusted(spark, docs, prose):
     good, junk = prose(80, 60), [" | ".join(t.upper().split()) for t in prose(20, 60, seed=2)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60)] + [(i, 0, 0) for i in range(80, 90)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in quality.keep(docs(good + junk, extra=True), labels, -0.1).collect()}
+    table = docs(good + junk, extra=True)
+    rated, at = quality.rate(table, quality.fit(table, quality.trusted_ids(labels)))
+    score = {r.doc_id: r[at["score"]] for r in rated.collect()}
+    lowest, highest = min(score[i] for i in range(80)), max(score[i] for i in range(80, 100))
+    assert lowest > highest
+    kept = {r.doc_id for r in quality.keep(table, labels, (lowest + highest) / 2).collect()}
     assert kept == set(range(80))
     assert quality.keep(docs([]), labels.limit(0)).count() == 0
 
