@@ -16,7 +16,7 @@ NOT_APPLICABLE = "_Z"
 
 
 def _rest(variable_id: Column) -> Column:
-    return F.substring(variable_id, len(CATALOGUED_PREFIX) + 1, 100_000)
+    return F.substr(variable_id, F.lit(len(CATALOGUED_PREFIX) + 1))
 
 
 def _follows_grammar(variable_id: Column) -> Column:
@@ -39,7 +39,7 @@ def id_code(variable_id: Column) -> Column:
     return (
         F.when(
             variable_id.startswith(DIRECT_PREFIX),
-            F.substring(variable_id, len(DIRECT_PREFIX) + 1, 100_000),
+            F.substr(variable_id, F.lit(len(DIRECT_PREFIX) + 1)),
         )
         .when(_follows_grammar(variable_id), F.substring_index(_after_agency(variable_id), ".", 1))
         .when(variable_id.startswith(CATALOGUED_PREFIX), _rest(variable_id))

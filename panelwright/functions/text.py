@@ -15,4 +15,5 @@ def fixed(value: Column | str, digits: int) -> Column:
 
 def signed(value: Column | str, digits: int) -> Column:
     col = F.col(value) if isinstance(value, str) else value
-    return F.concat(F.when(col >= 0, "+").otherwise(""), fixed(col, digits))
+    shown = fixed(col + F.lit(0.0), digits)  # adding zero drops the sign of a negative zero
+    return F.concat(F.when(shown.startswith("-"), "").otherwise("+"), shown)

@@ -299,7 +299,8 @@ def _through_json(payloads):
     "payload_points",
     with_tables(
         "latest_point",
-        """SELECT indicator_key, place_id, CAST(substr(date, 1, 4) AS BIGINT) AS period, date, value,
+        """SELECT indicator_key, place_id, CASE WHEN length(date) = 10
+          THEN date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) ELSE CAST(date AS BIGINT) END AS period, date, value,
         'var/' || indicator_key AS variable_id, 'unit of ' || facet_id AS unit, 'shown' AS unit_display,
         'maker' AS source_agency, 'prov/' || facet_id AS provenance_id, facet_id FROM latest_point""",
     ),
@@ -318,16 +319,16 @@ def payload_points(spark, sf):
     "payload_series",
     with_tables(
         "user_day",
-        """SELECT indicator_key, place_id, date, value, 'unit of one' AS unit, 'one' AS facet_id FROM user_day
-        WHERE indicator_key IN ('events/all', 'events/view')""",
+        """SELECT indicator_key, place_id, date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) AS period, date, value,
+        'unit of one' AS unit, 'one' AS facet_id FROM user_day""",
     ),
 )
 def payload_series(spark, sf):
     panel = _described(panels.user_day(spark, sf).withColumn("facet_id", F.lit("one")))
     payloads = observations.encode_series(panel, per_row=100)
-    meta = _payload_meta(spark, ["events/all", "events/view"])
+    meta = _payload_meta(spark, [f"events/{x}" for x in ("all", "click", "error", "purchase", "signup", "view")])
     df = observations.decode_series(_through_json(payloads), meta)
-    return df.select(INDICATOR, "place_id", "date", "value", "unit", "facet_id")
+    return df.select(INDICATOR, "place_id", whole("period"), "date", "value", "unit", "facet_id")
 
 
 @query(

@@ -29,8 +29,15 @@ SECOND_SOURCE_FACET = {
 
 
 def period_of(date: Column) -> Column:
-    """The year a date string starts with, null when it does not."""
-    return F.regexp_extract(date, "^(-?[0-9]{1,6})", 1).try_cast("int")
+    """The step a date stands for: a year or plain number itself, months counted from year 0, days
+    from 1970-01-01. Null for anything else, so that no two dates fall into one step unseen.
+    """
+    year, month = (F.regexp_extract(date, "^([0-9]{4})-([0-9]{2})$", i).try_cast("int") for i in (1, 2))
+    return (
+        F.when(date.rlike("^-?[0-9]{1,6}$"), date.try_cast("int"))
+        .when(month.between(1, 12), year * 12 + month - 1)
+        .when(date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.unix_date(date.try_cast("date")))
+    )
 
 
 # ---- readers ----

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelwright.plans import all_queries
 from tools.check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -21,8 +22,9 @@ def con():
 
 
 def test_only_the_clustering_query_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"archetypes"}
+    assert set(all_queries.QUERIES) - set(all_queries.ORACLES) == {"archetypes"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(all_queries.QUERIES) <= set(entry.queries())
 
 
 @needs_tables
@@ -32,7 +34,7 @@ def test_entry_gives_rows(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries.QUERIES))
 def test_query_agrees_with_its_sql(spark, con, name):
     line, ok = compare(spark, con, name, SF)
     assert ok, line
