@@ -11,6 +11,8 @@ Rows equal in id and text are one occurrence and get the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +21,26 @@ from panelwright.llm.common import documents, query
 LINES = 3
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once, not again for each element of a lambda inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(text: Column) -> Column:
     """(position, hash, lines) of each window of a text."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    blank = F.transform(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) == 0)
-
-    def window(at: Column) -> Column:
-        part = F.slice(hashes, at + 1, LINES)
-        return F.struct(
-            at.alias("at"),
-            F.xxhash64(part).alias("window"),
-            F.forall(F.slice(blank, at + 1, LINES), lambda b: b).alias("blank"),
-        )
 
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - LINES, F.lit(0))), window)
+    def of_lines(lines: Column) -> Column:
+        def window(at: Column) -> Column:
+            part = F.slice(lines, at + 1, LINES)
+            return F.struct(
+                at.alias("at"),
+                F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("window"),
+                F.forall(part, lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) == 0).alias("blank"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - LINES, F.lit(0))), window)
+
+    return _let(F.split(text, "\n", -1), of_lines)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -61,22 +68,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     covered = repeats(docs).groupBy("_id", "_text").agg(F.collect_set("at").alias("_starts"))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("_own"))
     both = own.join(covered, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_text")), "left")
-    lines = F.split("text", "\n", -1)
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    inside = F.flatten(
-        F.transform(
-            F.coalesce("_starts", F.array().cast("array<int>")),
-            lambda at: F.sequence(at, F.least(at + LINES - 1, F.size(lines) - 1)),
+
+    def rest(lines: Column) -> Column:
+        """How many lines there are, how many stay, and these, joined."""
+        end = F.size(lines) - 1
+        starts = F.coalesce("_starts", F.array().cast("array<int>"))
+        inside = _let(end, lambda n: F.flatten(F.transform(starts, lambda at: F.sequence(at, F.least(at + LINES - 1, n)))))
+        stay = F.array_except(F.sequence(F.lit(0), end), inside)
+        return _let(
+            stay,
+            lambda kept: F.struct(
+                F.size(lines).alias("all"),
+                F.size(kept).alias("kept"),
+                F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"),
+            ),
         )
-    )
-    stay = F.array_except(every, inside)
-    return both.select(
+
+    found = both.select("doc_id", F.col("text").isNull().alias("_none"), _let(F.split("text", "\n", -1), rest).alias("_rest"))
+    return found.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("long").alias("n_removed"),
-        F.when(
-            F.col("text").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-        ).alias("text"),
+        F.when(F.col("_none"), 0).otherwise(F.col("_rest.all")).cast("long").alias("n_lines"),
+        F.when(F.col("_none"), 0).otherwise(F.col("_rest.all") - F.col("_rest.kept")).cast("long").alias("n_removed"),
+        F.when(~F.col("_none"), F.col("_rest.text")).alias("text"),
     )
 
 
