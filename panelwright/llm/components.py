@@ -21,6 +21,22 @@ def _small(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("_m").alias("b"))).filter("a <> b")
 
 
+def stars(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """Links ``a``, ``b`` (``a > b``) that connect what ``links`` connects, after a few rounds: near
+    to stars around the least nodes, and fewer."""
+    edges = links.select("a", "b").distinct()
+    for _ in range(rounds):
+        edges = settle(_small(_large(edges).distinct()).distinct())
+    return edges
+
+
+def near_roots(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` from stars: nodes with one root are connected. Connected nodes may still
+    have different roots."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b"))
+    return both.groupBy("node").agg(F.min("root").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` for each node of ``links`` (``a``, ``b``); the root is the least node.
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
 from panelwright.llm.common import documents, fresh, query, settle
-from panelwright.llm.components import components
+from panelwright.llm.components import components, near_roots, stars
 
 SHINGLE = 3
 PERCENT = 90
@@ -320,7 +320,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         return settle(found.mapInArrow(_whole_sets, "cid long, members binary"))
 
     # rounds against one pivot of each branch, another one each time
-    roots = links = known = None
+    links = known = None
     labelled = tree.withColumn("comp", F.col("cid"))
     for turn in range(PIVOT_ROUNDS):
         pick = F.min_by(F.struct("cid", "n", "comp"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid"))
@@ -342,9 +342,9 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         right = settle(_linked(near, members(near)))
         if right.isEmpty():
             break
-        links = right if links is None else links.union(right)
-        roots = settle(components(links)).toDF("cid", "label")
-        named = tree.join(roots, "cid", "left").select("root", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
+        links = stars(right if links is None else links.union(right))
+        near_by = near_roots(links).toDF("cid", "label")
+        named = tree.join(near_by, "cid", "left").select("root", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
         apart = named.groupBy("root", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         labelled = settle(named.join(apart.select("root", "band"), ["root", "band"]))
 
@@ -363,9 +363,11 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         pairs = pairs.join(known, ["a", "b"], "left_anti")
     if not pairs.isEmpty():
         right = _linked(pairs, members(pairs))
-        roots = components(right if links is None else links.union(right)).toDF("cid", "label")
-    if roots is None:
+        links = right if links is None else links.union(right)
+    if links is None:
         roots = classes.select("cid", F.col("cid").alias("label"))
+    else:
+        roots = components(links).toDF("cid", "label")
 
     named = classes.select("cid", "least").join(roots, "cid", "left").select(
         "cid", "least", F.coalesce("label", "cid").alias("label")
