@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from panelwright.llm import decontaminate, jaccard, mixing, quality, sharding
 from panelwright.llm.common import own_folder, query, ship
 
+#: Near duplicates share four fifths of their runs of five words.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and look like the trusted ones."""
@@ -17,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     ship(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ of the groups are a point. The overlap of two sets is at most the sum of the min
 coordinates, and the same holds for a box: the sum of the minima of a point's coordinates and the
 box's upper corner bounds the overlap with everything in it. Pairs that survive the bound are
 verified on the whole sets, so the result has exactly the links with
-``100 * intersection >= 90 * union``.
+``100 * intersection >= percent * union``. Words in a shingle and percent are parameters; their
+defaults are those of the query.
 
 Boxes of random counts overlap too much to keep far nodes of one huge tree apart, so the root
 fans out first: sets that reach the similarity share one of their few rarest shingles (the prefix
@@ -34,6 +35,7 @@ from panelwright.llm import words as W
 from panelwright.llm.common import documents, fresh, query, settle
 from panelwright.llm.components import components, near_roots, stars
 
+#: Words of a shingle and least similarity of the query.
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 256
@@ -105,9 +107,9 @@ def rarity(texts: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(table.ravel(), 1)).astype(np.uint64)
 
 
-def least_common(size: np.ndarray) -> np.ndarray:
+def least_common(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Shingles that a set shares at least with any set as similar as asked for."""
-    return -(-PERCENT * size // 100)
+    return -(-percent * size // 100)
 
 
 def _class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -122,23 +124,23 @@ def _class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return cid
 
 
-def _sketch(order: np.ndarray):
+def _sketch(order: np.ndarray, k: int, percent: int):
     """Rows ``_id, _row, n, cid, counts, roots`` of texts: see ``sketches``."""
 
     def one(w: W.Words) -> list[pa.Array]:
-        values, at, word = sets(w)
+        values, at, word = sets(w, k)
         n = np.diff(at)
         of = np.repeat(np.arange(w.texts), n)
         cid = _class_ids(values, at)
         group = (values >> np.uint64(40)).astype(np.int64) % GROUPS
         counts = np.bincount(of * GROUPS + group, minlength=w.texts * GROUPS).clip(max=FULL).astype(np.uint8)
         common = order[_slot(w.hashes())]
-        last = np.minimum(word + SHINGLE, w.first[of + 1]) - 1
-        level = sum(common[np.minimum(word + i, last)] for i in range(SHINGLE))
-        rank = (level << np.uint64(56)) | (values >> np.uint64(8))
+        last = np.minimum(word + k, w.first[of + 1]) - 1
+        level = sum(common[np.minimum(word + i, last)] for i in range(k))
+        rank = (np.minimum(level, np.uint64(255)) << np.uint64(56)) | (values >> np.uint64(8))
         by = W.order_within(of, rank)
         place = np.arange(len(values)) - np.repeat(at[:-1], n)
-        roots = np.where(n > 0, n - least_common(n) + 1, 0)
+        roots = np.where(n > 0, n - least_common(n, percent) + 1, 0)
         chosen = values[by][place < np.repeat(roots, n)]
         ends = np.zeros(w.texts + 1, np.int32)
         np.cumsum(roots, out=ends[1:])
@@ -160,7 +162,7 @@ def _sketch(order: np.ndarray):
     return run
 
 
-def _branches(full: DataFrame) -> DataFrame:
+def _branches(full: DataFrame, percent: int) -> DataFrame:
     """``root, band, cid, n``: the points below each root, in bands of size, where they aren't alone.
 
     Two sets can only be linked if their sizes are in one band or in neighbouring ones, so each
@@ -169,17 +171,17 @@ def _branches(full: DataFrame) -> DataFrame:
     below = full.select("cid", "n", F.explode("roots").alias("root"))
     ends = [F.min("cid").alias("lo"), F.max("cid").alias("hi")]
     shared = below.groupBy("root").agg(*ends).filter("lo <> hi").select("root")
-    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9)
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
     both = below.join(shared, "root").select("root", "cid", "n", F.explode(F.array(band, band + 1)).alias("band")).distinct()
     both = settle(both)
     busy = both.groupBy("root", "band").agg(*ends).filter("lo <> hi").select("root", "band")
     return both.join(busy, ["root", "band"])
 
 
-def _ceil_need(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def _ceil_need(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Least overlap at which sets of these sizes are linked."""
     both = na.astype(np.int64) + nb
-    return -(-PERCENT * both // (100 + PERCENT))
+    return -(-percent * both // (100 + percent))
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -193,12 +195,16 @@ def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return least.sum(axis=1, dtype=np.int64) + (least == FULL).any(axis=1) * (1 << 40)
 
 
-def _bounded_pairs(batches):
+def _bounded_pairs(percent: int):
     """Of pairs of points, those whose bound allows a link."""
-    for batch in batches:
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        most = _bound(_points(batch.column("ca")), _points(batch.column("cb")))
-        yield batch.filter(pa.array(most >= _ceil_need(na, nb))).select(["a", "b"])
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = _bound(_points(batch.column("ca")), _points(batch.column("cb")))
+            yield batch.filter(pa.array(most >= _ceil_need(na, nb, percent))).select(["a", "b"])
+
+    return run
 
 
 def _pack(batches):
@@ -241,65 +247,83 @@ def _open(blob: bytes) -> tuple[np.ndarray, ...]:
     return *whole, np.frombuffer(blob[24 * n :], np.uint8).reshape(n, GROUPS)
 
 
-def _search(batches):
+def _search(percent: int):
     """Pairs of points of two leaves that aren't connected and whose bound allows a link."""
-    for batch in batches:
-        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        for x, y, box in zip(batch.column("points_a"), batch.column("points_b"), batch.column("corner_b")):
-            a, na, ka, pa_ = _open(x.as_py())
-            b, nb, kb, pb = _open(y.as_py())
-            corner = np.frombuffer(box.as_py(), np.uint8)
-            # the box first: which points of one leaf can have a partner in the other at all
-            reach = _bound(pa_, corner) >= least_common(na)
-            for i in np.flatnonzero(reach):
-                far = (kb != ka[i]) & (_bound(pb, pa_[i]) >= _ceil_need(na[i], nb))
-                if far.any():
-                    other = b[far]
-                    found.append(np.stack([np.minimum(other, a[i]), np.maximum(other, a[i])]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-
-def _whole_sets(batches):
+
+    def run(batches):
+        for batch in batches:
+            found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+            for x, y, box in zip(batch.column("points_a"), batch.column("points_b"), batch.column("corner_b")):
+                a, na, ka, pa_ = _open(x.as_py())
+                b, nb, kb, pb = _open(y.as_py())
+                corner = np.frombuffer(box.as_py(), np.uint8)
+                # the box first: which points of one leaf can have a partner in the other at all
+                reach = _bound(pa_, corner) >= least_common(na, percent)
+                for i in np.flatnonzero(reach):
+                    far = (kb != ka[i]) & (_bound(pb, pa_[i]) >= _ceil_need(na[i], nb, percent))
+                    if far.any():
+                        other = b[far]
+                        found.append(np.stack([np.minimum(other, a[i]), np.maximum(other, a[i])]))
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return run
+
+
+def _whole_sets(k: int):
     """Each set of a task once; the same set from another task only repeats a link."""
-    sent: set[int] = set()
-    for batch in batches:
-        for _, _, w in W.chunks(batch.column(0), True):
-            values, at, _ = sets(w)
-            cid = _class_ids(values, at)
-            new = [i for i, c in enumerate(cid.tolist()) if c not in sent and not sent.add(c)]
-            data = [values[at[i] : at[i + 1]].tobytes() for i in new]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cid[new].view(np.int64)), pa.array(data, pa.binary())], names=["cid", "members"]
-            )
 
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            for _, _, w in W.chunks(batch.column(0), True):
+                values, at, _ = sets(w, k)
+                cid = _class_ids(values, at)
+                new = [i for i, c in enumerate(cid.tolist()) if c not in sent and not sent.add(c)]
+                data = [values[at[i] : at[i + 1]].tobytes() for i in new]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[new].view(np.int64)), pa.array(data, pa.binary())], names=["cid", "members"]
+                )
 
-def _verify(batches):
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("ma"), batch.column("mb")):
-            s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            good.append(100 * common >= PERCENT * (len(s) + len(t) - common))
-        yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+    return run
 
 
-def _linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _verify(percent: int):
+    def run(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("ma"), batch.column("mb")):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(100 * common >= percent * (len(s) + len(t) - common))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs of sets that are similar enough, by their whole sets."""
     left = members.select(F.col("cid").alias("a"), F.col("members").alias("ma"))
     right = members.select(F.col("cid").alias("b"), F.col("members").alias("mb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    return both.mapInArrow(_verify, "a long, b long").distinct()
+    return both.mapInArrow(_verify(percent), "a long, b long").distinct()
+
 
+def groups(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """``_id``, ``_row``, ``n``, ``component`` for each row; ``_row`` is the hash of its text.
 
-def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``_id``, ``_row``, ``n``, ``component`` for each row; ``_row`` is the hash of its text."""
+    Sets of runs of ``shingle`` words are linked from a similarity of ``percent`` on, below 100.
+    """
+    if shingle < 1 or not 0 < percent < 100:
+        raise ValueError("a shingle has at least one word, and percent lies between 0 and 100")
     rows = docs.select(
         F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_row"), F.col(text_column).alias("text")
     )
     order = rarity(rows.select("text"))
     kind = f"_id {docs.schema[id_column].dataType.simpleString()}, _row long, n long, cid long, counts binary, roots array<bigint>"
-    sketches = settle(rows.mapInArrow(_sketch(order), kind))
+    sketches = settle(rows.mapInArrow(_sketch(order, shingle, percent), kind))
     full = sketches.filter("n > 0")
     classes = settle(
         full.groupBy("cid").agg(
@@ -310,14 +334,14 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         )
     )
     points = classes.select("cid", "n", "counts")
-    tree = settle(_branches(full))
+    tree = settle(_branches(full, percent))
 
     def members(pairs: DataFrame) -> DataFrame:
         """Whole sets of the points in ``pairs``, read again from one text of each."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         place = settle(wanted.join(classes.select("cid", "row"), "cid").select(F.col("row").alias("_row")))
         found = rows.select("_row", "text").join(place, "_row", "left_semi").select("text")
-        return settle(found.mapInArrow(_whole_sets, "cid long, members binary"))
+        return settle(found.mapInArrow(_whole_sets(shingle), "cid long, members binary"))
 
     # rounds against one pivot of each branch, another one each time
     links = known = None
@@ -328,18 +352,18 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         pivots = labelled.groupBy(*by).agg(pick.alias("p"))
         first = (
             labelled.join(pivots, by)
-            .filter(f"p.comp <> comp and 100 * least(n, p.n) >= {PERCENT} * greatest(n, p.n)")
+            .filter(f"p.comp <> comp and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
             .select(F.least("p.cid", "cid").alias("a"), F.greatest("p.cid", "cid").alias("b"))
             .distinct()
         )
         if known is not None:
             first = first.join(known, ["a", "b"], "left_anti")
         sized = first.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b")
-        near = settle(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded_pairs, "a long, b long"))
+        near = settle(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded_pairs(percent), "a long, b long"))
         if near.isEmpty():
             break
         known = near if known is None else known.union(near)
-        right = settle(_linked(near, members(near)))
+        right = settle(_linked(near, members(near), percent))
         if right.isEmpty():
             break
         links = stars(right if links is None else links.union(right))
@@ -355,14 +379,14 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     a = leaves.select("root", "band", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[2:] if c != "corner"])
     b = leaves.select("root", "band", *[F.col(c).alias(f"{c}_b") for c in leaves.columns[2:]])
     meet = a.join(b, ["root", "band"]).filter(
-        f"(n_lo_a, leaf_a) <= (n_lo_b, leaf_b) and 100 * n_hi_a >= {PERCENT} * n_lo_b and 100 * n_hi_b >= {PERCENT} * n_lo_a "
+        f"(n_lo_a, leaf_a) <= (n_lo_b, leaf_b) and 100 * n_hi_a >= {percent} * n_lo_b and 100 * n_hi_b >= {percent} * n_lo_a "
         "and not (comp_lo_a = comp_hi_a and comp_lo_b = comp_hi_b and comp_lo_a = comp_lo_b)"
     )
-    pairs = settle(meet.select("points_a", "points_b", "corner_b").mapInArrow(_search, "a long, b long").distinct())
+    pairs = settle(meet.select("points_a", "points_b", "corner_b").mapInArrow(_search(percent), "a long, b long").distinct())
     if known is not None:
         pairs = pairs.join(known, ["a", "b"], "left_anti")
     if not pairs.isEmpty():
-        right = _linked(pairs, members(pairs))
+        right = _linked(pairs, members(pairs), percent)
         links = right if links is None else links.union(right)
     if links is None:
         roots = classes.select("cid", F.col("cid").alias("label"))
@@ -399,9 +423,9 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r G
 """
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group: the one with the least id, with the columns it came with."""
-    found = groups(docs)
+    found = groups(docs, shingle=shingle, percent=percent)
     order = F.struct(F.col("_id").isNull(), "_id", "_row")
     alone = found.filter("n = 0").select("_id", "_row")
     best = (
