@@ -31,8 +31,10 @@ from panelwright.llm import shared_files, words as W
 from panelwright.llm.common import append, documents, fresh, own_folder, query, settle
 
 ORDER = 2
-#: Hash ranges of each order. More ranges for more text, so that one fits in a task's memory.
+#: Least hash ranges of each order, and bytes of text for each further one: a range meets in one
+#: task, which holds two rows of 64 bytes for each of its n-grams, and some copies of them.
 SHARDS = 64
+RANGE_BYTES = 4 << 20
 #: Tokens a task counts before it hands on what it has.
 FLUSH = 1 << 22
 BEGIN = np.uint64(0x6B8B4567327B23C6)
@@ -292,10 +294,21 @@ class Model:
         return n, sums[0].astype(np.int64), sums[1], sums[2]
 
 
-def train(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> Model:
-    """Counts the texts of the one column of ``texts`` and writes the model's arrays."""
+def hash_ranges(texts: DataFrame) -> int:
+    """Ranges for the texts of the one column of ``texts``, by their bytes."""
+    size = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])).cast("long"))).first()[0] or 0
+    return max(SHARDS, -(-size // RANGE_BYTES))
+
+
+def train(texts: DataFrame, order: int = ORDER, shards: int | None = None) -> Model:
+    """Counts the texts of the one column of ``texts`` and writes the model's arrays.
+
+    Results do not depend on ``shards``, which follow from the size of the texts if not given.
+    """
     if order < 2:
         raise ValueError("the model interpolates at least two orders")
+    if shards is None:
+        shards = hash_ranges(texts)
     folder = own_folder(texts.sparkSession, "kneser-ney")
     parts = texts.mapInArrow(_count(order, shards), "shard int, part binary")
     levels: list[list[dict]] = []
