@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from panelwright.llm import shared_files, words as W
 from panelwright.llm.common import append, documents, fresh, own_folder, query, settle
 
-ORDER = 2
+#: Order of a model if none is asked for, and of the query.
+ORDER, QUERY_ORDER = 2, 3
 #: Least hash ranges of each order, and bytes of text for each further one: a range meets in one
 #: task, which holds two rows of 64 bytes for each of its n-grams, and some copies of them.
 SHARDS = 64
@@ -345,7 +346,7 @@ def perplexity(score_: float, tokens: int) -> float:
 @query("op1_kneser_ney")
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = train(docs.filter(~held_out(F.col("doc_id"))).select("text"))
+    model = train(docs.filter(~held_out(F.col("doc_id"))).select("text"), QUERY_ORDER)
     scored, at = score(docs, model)
     return scored.select(
         "doc_id",
