@@ -7,6 +7,9 @@ a candidate. A window with four fifths of the template's shingles has similarity
 found with probability ``1 - (1 - 0.67 ** 2) ** 16 > 0.9999``. A candidate counts if the window, an
 eighth wider at both ends, contains at least 80 % of the template's shingles exactly.
 
+A text with fewer shingles than a template is one window, decided without bands. A template of fewer
+than five words is looked for as that many words in a row.
+
 Null and empty texts hold no license. Repeated rows give the same result each. Without templates
 or documents there are no rows. A text's best containment is kept for each template.
 """
@@ -76,13 +79,17 @@ class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
         self.sets = []
+        self.short: list[tuple[int, int]] = []
         by_size: dict[int, list[int]] = {}
         for i, text in enumerate(templates.values()):
             w = next(W.chunks(pa.array([text], pa.large_string()), True))[2]
             h = w.hashes()
             value = _shingles(h, w.first)[0] if len(h) >= SHINGLE else W.shingle_hashes(h, np.array([0]), len(h))
             self.sets.append(np.unique(value))
-            by_size.setdefault(len(value), []).append(i)
+            if len(h) >= SHINGLE:
+                by_size.setdefault(len(value), []).append(i)
+            elif len(h):
+                self.short.append((i, len(h)))
         self.sizes = sorted(by_size.items())
         self.bands = {
             i: [np.stack([((s * np.uint64(f)) >> np.uint64(32)) for f in _FACTORS]).min(axis=1)][0]
@@ -92,7 +99,7 @@ class Templates:
     def windows(self, values: np.ndarray, first: np.ndarray):
         """(template, text, first shingle, end) of windows that share a band with a template."""
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        depth = max(size for size, _ in self.sizes).bit_length()
+        depth = max((size for size, _ in self.sizes), default=1).bit_length()
         votes: dict[int, list[np.ndarray]] = {i: [] for i in range(len(self.names))}
         last: dict[int, np.ndarray] = {}
         for k, factor in enumerate(_FACTORS):
@@ -112,6 +119,12 @@ class Templates:
                         last[i] &= same
                     if k % ROWS == ROWS - 1:
                         votes[i].append(np.flatnonzero(last[i]))
+        counts = np.diff(first)
+        for size, members in self.sizes:
+            for i in members:
+                few = (counts < size) & (counts >= CONTAINMENT * len(self.sets[i]))
+                for t in np.flatnonzero(few).tolist():
+                    yield i, t, int(first[t]), int(first[t + 1])
         for size, members in self.sizes:
             step = max(1, size // 8)
             for i in members:
@@ -132,7 +145,12 @@ def _scan(templates: dict[str, str]):
         names, shares = [], []
         for _, _, w in W.chunks(texts, True):
             best: list[dict[int, float]] = [{} for _ in range(w.texts)]
-            values, first = _shingles(w.hashes(), w.first)
+            h = w.hashes()
+            values, first = _shingles(h, w.first)
+            for i, k in t.short:
+                at = W.runs(w.first, k)
+                for text in np.unique(w.text_of[at[W.shingle_hashes(h, at, k) == t.sets[i][0]]]).tolist():
+                    best[text][i] = 1.0
             for i, text, a, b in t.windows(values, first) if len(values) else ():
                 share = np.isin(t.sets[i], values[a:b]).mean()
                 if share >= CONTAINMENT and share > best[text].get(i, 0):
