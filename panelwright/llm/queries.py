@@ -2,6 +2,7 @@
 
 from panelwright.llm import (  # noqa: F401
     chat,
+    chunk_dedup,
     decontaminate,
     jaccard,
     kneser_ney,
