@@ -9,6 +9,7 @@ from panelwright.llm import (  # noqa: F401
     licenses,
     line_dedup,
     mixing,
+    periodic_runs,
     quality,
     sharding,
     token_files,
