@@ -3,6 +3,7 @@
 from panelwright.llm import (  # noqa: F401
     chat,
     chunk_dedup,
+    collocations,
     decontaminate,
     jaccard,
     kneser_ney,
