@@ -46,9 +46,9 @@ TOP = 2000
 COVERS = 80
 #: Occurrences from which a leading word is too common to decide a route.
 COMMON = 1 << 20
-SLAB = 2 << 20
+SLAB = 1 << 20
 #: Suffixes a task gathers before it sends them on, and that a route holds on average.
-GATHERED, ROUTE = 2_000_000, 2_000_000
+GATHERED, ROUTE = 750_000, 1_000_000
 LEAST_ROUTES = 256
 #: Frequent words of a file.
 FILE_WORDS = 4_000_000
@@ -233,8 +233,9 @@ def _send(vocabulary_: Vocabulary, routes: int):
     def flush(held: list):
         rows, common = (np.concatenate(x) for x in zip(*held))
         route = route_of(rows, common, routes)
-        wide = rows.astype(np.uint64)
-        high, low = wide[:, 0] << np.uint64(32) | wide[:, 1], wide[:, 2] << np.uint64(32) | wide[:, 3]
+        high, low = (rows[:, k].astype(np.uint64) << np.uint64(32) | rows[:, k + 1] for k in (0, 2))
+        del rows, common
+        held.clear()
         order = np.lexsort((low, high, route))
         high, low, route = high[order], low[order], route[order]
         fresh = np.ones(len(high), bool)
@@ -261,7 +262,7 @@ def _send(vocabulary_: Vocabulary, routes: int):
                 size += len(own)
                 if size >= GATHERED:
                     yield flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush(held)
 
