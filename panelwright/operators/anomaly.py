@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import largest_group, top_per_key
+from panelwright.functions.order_stats import join_keys, top_per_key
 from panelwright.functions.text import fixed, signed
 from panelwright.operators.change import (
     change_from_previous,
@@ -47,7 +47,7 @@ def _flag_departures(changes: DataFrame, scales: DataFrame, k: float, top_n: int
     floor = F.nullif(F.greatest("_scale", "pooled_scale"), F.lit(0.0))
     score = F.coalesce(F.abs(F.col("change") - F.col("_centre")) / floor, F.lit(0.0))
     flagged = (
-        changes.join(scales, INDICATOR)
+        join_keys(changes, scales, [INDICATOR])
         .withColumn("score", score)
         .where((F.col("score") > k) & (F.abs("change") >= F.col("magnitude_gate")))
     )
@@ -86,24 +86,16 @@ def detect_peer_outliers(
     k: float = 3.5,
     min_peers: int = 10,
     top_n: int = 8,
-    largest: int | None = None,
 ) -> DataFrame:
     """Changes unusual against all places reporting the same period."""
     peers = [INDICATOR, "period"]
-    if largest is None:
-        largest = largest_group(changes, peers)
-    enough = (
-        changes.groupBy(*peers)
-        .agg(F.count("change").alias("_count"))
-        .where(F.col("_count") >= min_peers)
-    )
-    typical = robust_scale(changes, peers, "change", largest).join(enough, peers)
+    typical = robust_scale(changes, peers, "change").where(F.col("n_values") >= min_peers)
     # One row per (indicator, period) that is read against every change: written first, so
     # whether it is small enough to broadcast is known.
     typical = settle(
         typical.select(*peers, F.col("median").alias("_centre"), F.col("scale").alias("_scale"))
     )
-    found = _flag_departures(changes.join(typical, peers), scales, k, top_n)
+    found = _flag_departures(join_keys(changes, typical, peers), scales, k, top_n)
     way = F.when(F.col("change") > 0, "gained").otherwise("lost")
     return _anomalies(
         found, "peer_outlier", F.format_string(PEER_DETAIL, way, fixed(F.abs("change"), 1), "date")
@@ -128,7 +120,7 @@ def detect_interpolated(
     before, gap_before = F.lag("change").over(series), F.lag("gap_years").over(series)
     step = F.col("pooled_scale") * min_step_frac
     rows = (
-        changes.join(scales.where(F.col("pooled_scale") > 0), INDICATOR)
+        join_keys(changes, scales.where(F.col("pooled_scale") > 0), [INDICATOR])
         .withColumn("_before", before)
         .withColumn("_gap_before", gap_before)
     )
@@ -214,11 +206,10 @@ def detect_anomalies(
 ) -> DataFrame:
     """All four detectors. The changes are written once and read by three of them."""
     changes = settle(with_own_scale(change_from_previous(panel)))
-    largest = largest_group(changes, [INDICATOR])
-    scales = change_scales(changes, largest)
+    scales = change_scales(changes)
     found = (
         detect_spikes(changes, scales, k, min_obs, top_n)
-        .unionByName(detect_peer_outliers(changes, scales, k, min_peers, top_n, largest))
+        .unionByName(detect_peer_outliers(changes, scales, k, min_peers, top_n))
         .unionByName(detect_interpolated(changes, scales, top_n=top_n))
     )
     if trends is not None:

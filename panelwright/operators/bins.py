@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.order_stats import (
-    GROUP_BOUND,
+    WEIGHT,
     exact_quantiles,
-    largest_group,
-    running_totals,
+    join_keys,
+    sums_before,
     top_per_key,
+    value_cells,
 )
 from panelwright.functions.text import fixed
 from panelwright.operators.change import known
@@ -21,34 +22,23 @@ from panelwright.staging import settle
 
 
 def weighted_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str,
-    out: str,
-    largest: int | None = None,
-    bound: int = GROUP_BOUND,
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str
 ) -> DataFrame:
     """Smallest value whose cumulative weight reaches half of the key's total weight.
 
-    Equal values are summed before anything is ordered.
+    Weights are summed as decimals, so a sum that stands on the half does so in any order. A row
+    without a value or a weight does not count.
     """
     keys = list(keys)
-    cells = (
-        df.where(known(value) & known(weight))
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.sum(weight).alias("_w"))
-    )
-    if largest is None:
-        largest = largest_group(cells, keys)
-    cells = running_totals(
-        cells, keys, [F.col("_v")], "_w", "_upto", "_all", largest=largest, bound=bound
-    )
-    return (
-        cells.where(F.col("_upto") >= F.col("_all") / 2)
-        .groupBy(*keys)
-        .agg(F.min("_v").alias(out))
-    )
+    weighed = df.where(known(weight)).withColumn("_weight", F.col(weight).cast(WEIGHT))
+    cells = value_cells(weighed, keys, value, F.col("_weight"))
+
+    def reaches(before: Column, n: Column, total: Column) -> Column:
+        return 2 * (before + n) >= total
+
+    found = sums_before(cells, keys, reaches)
+    reached = reaches(F.col("_before"), F.col("_n"), F.col("_all"))
+    return found.where(reached).groupBy(*keys).agg(F.min("_v").alias(out))
 
 
 def reference_lines(
@@ -56,13 +46,13 @@ def reference_lines(
 ) -> DataFrame:
     """x_ref and y_ref per key: weighted medians, or plain ones where the weights sum to zero."""
     keys = list(keys)
-    largest = largest_group(points, keys)
-    weights = points.groupBy(*keys).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("_w"))
-    lines = weights
+    lines = points.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(known(weight), F.col(weight))), F.lit(0.0)).alias("_w")
+    )
     for column, name in ((x, "x"), (y, "y")):
-        heavy = weighted_median(points, keys, column, weight, f"_{name}_heavy", largest)
-        plain = exact_quantiles(points, keys, column, {f"_{name}_plain": 0.5}, largest)
-        lines = lines.join(heavy, keys, "left").join(plain, keys, "left")
+        heavy = weighted_median(points, keys, column, weight, f"_{name}_heavy")
+        plain = exact_quantiles(points, keys, column, {f"_{name}_plain": 0.5})
+        lines = join_keys(join_keys(lines, heavy, keys, "left"), plain, keys, "left")
     lines = lines.select(
         *keys,
         F.when(F.col("_w") > 0, F.col("_x_heavy")).otherwise(F.col("_x_plain")).alias("x_ref"),
@@ -82,27 +72,20 @@ def with_quadrants(
         .when(low_y, "high_x_low_y")
         .otherwise("high_both")
     )
-    return points.join(lines, list(keys)).withColumn("quadrant", quadrant)
+    return join_keys(points, lines, list(keys)).withColumn("quadrant", quadrant)
 
 
-def quantile_breaks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    n_bins: int = 5,
-    bound: int = GROUP_BOUND,
-) -> DataFrame:
+def quantile_breaks(df: DataFrame, keys: Sequence[str], value: str, n_bins: int = 5) -> DataFrame:
     """Bin edges at the quantiles of a key's distinct values, repeated edges removed.
 
     With no more distinct values than bins the edges are the values; a single value is both
     edges of its one bin.
     """
     keys = list(keys)
-    distinct = settle(df.where(known(value)).select(*keys, F.col(value).alias("_v")).distinct())
+    distinct = value_cells(df, keys, value).select(*keys, "_v")
     counts = distinct.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"))
-    largest = largest_group(distinct, keys)
     names = {f"_q{i}": i / n_bins for i in range(n_bins + 1)}
-    edges = exact_quantiles(distinct, keys, "_v", names, largest, bound)
+    edges = exact_quantiles(distinct, keys, "_v", names)
     few = (
         top_per_key(distinct, keys, [F.asc("_v")], n_bins)
         .groupBy(*keys)
@@ -113,11 +96,8 @@ def quantile_breaks(
         .when(F.col("_n") <= n_bins, F.col("_few"))
         .otherwise(F.array_distinct(F.array(*names)))
     )
-    return settle(
-        counts.join(edges, keys)
-        .join(few, keys)
-        .select(*keys, F.col("_n").alias("n_distinct"), breaks.alias("breaks"))
-    )
+    joined = join_keys(join_keys(counts, edges, keys), few, keys)
+    return settle(joined.select(*keys, F.col("_n").alias("n_distinct"), breaks.alias("breaks")))
 
 
 def bin_index(value: Column, breaks: Column) -> Column:

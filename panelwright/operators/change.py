@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import GROUP_BOUND, exact_quantiles, largest_group
+from panelwright.functions.order_stats import exact_quantiles, join_keys, value_cells
 from panelwright.schema import INDICATOR, MAD_TO_SIGMA, SERIES
 from panelwright.staging import settle
 
@@ -67,66 +67,46 @@ def with_own_scale(changes: DataFrame) -> DataFrame:
     )
 
 
-def robust_scale(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    largest: int | None = None,
-    bound: int = GROUP_BOUND,
-) -> DataFrame:
-    """Median and 1.4826 x median absolute deviation of ``value`` per key."""
+def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Median, 1.4826 x median absolute deviation and number of the known values per key."""
     keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= bound:
-        away = df.select(
-            *keys, value, F.median(value).over(Window.partitionBy(*keys)).alias("median")
-        ).withColumn("_away", F.abs(F.col(value) - F.col("median")))
-        return away.groupBy(*keys).agg(
-            F.first("median").alias("median"),
-            (F.lit(MAD_TO_SIGMA) * F.median("_away")).alias("scale"),
-        )
-    centre = exact_quantiles(df, keys, value, {"median": 0.5}, largest, bound)
-    away = df.join(centre, keys).select(
-        *keys, "median", F.abs(F.col(value) - F.col("median")).alias("_away")
-    )
-    mad = exact_quantiles(away, [*keys, "median"], "_away", {"_mad": 0.5}, largest, bound)
-    return mad.select(*keys, "median", (F.lit(MAD_TO_SIGMA) * F.col("_mad")).alias("scale"))
+    centre = exact_quantiles(df, keys, value, {"median": 0.5})
+    return _around(df, centre, keys, value)
+
 
+def _around(df: DataFrame, centre: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``centre``, a row per key with its ``median``, with the scale and number of the values."""
+    # Small beside the rows it is read against, and written so that its size is known.
+    centre = settle(centre)
+    # Equal infinities are no distance apart.
+    away = F.when(F.col(value) == F.col("median"), 0.0).otherwise(F.abs(F.col(value) - F.col("median")))
+    rows = join_keys(df.select(*keys, value), centre, keys).select(*keys, away.alias("_away"))
+    cells = value_cells(rows, keys, "_away")
+    mad = exact_quantiles(cells, keys, "_v", {"_mad": 0.5}, "_n")
+    count = cells.groupBy(*keys).agg(F.sum("_n").alias("n_values"))
+    scale = join_keys(mad, count, keys).select(*keys, (F.lit(MAD_TO_SIGMA) * F.col("_mad")).alias("scale"), "n_values")
+    return join_keys(centre, scale, keys)
 
-def change_scales(
-    changes: DataFrame, largest: int | None = None, bound: int = GROUP_BOUND
-) -> DataFrame:
+
+def change_scales(changes: DataFrame) -> DataFrame:
     """Per indicator: pooled scale of its changes, and the smallest change worth flagging.
 
     Indicators with fewer than two changes have no row. The result is written, so that joins
     with it know how small it is.
     """
-    if largest is None:
-        largest = largest_group(changes, [INDICATOR])
-    if largest <= bound:
-        middle = F.median("change").over(Window.partitionBy(INDICATOR))
-        stats = (
-            changes.select(INDICATOR, "change", middle.alias("_middle"))
-            .groupBy(INDICATOR)
-            .agg(
-                F.count("change").alias("n_changes"),
-                F.median(F.abs(F.col("change") - F.col("_middle"))).alias("_mad"),
-                F.percentile(F.abs("change"), F.lit(0.9)).alias("_p90"),
-            )
-            .withColumn("scale", F.lit(MAD_TO_SIGMA) * F.col("_mad"))
-        )
-    else:
-        pooled = robust_scale(changes, [INDICATOR], "change", largest, bound)
-        sizes = changes.select(INDICATOR, F.abs("change").alias("_size"))
-        p90 = exact_quantiles(sizes, [INDICATOR], "_size", {"_p90": 0.9}, largest, bound)
-        n = changes.groupBy(INDICATOR).agg(F.count("change").alias("n_changes"))
-        stats = n.join(pooled, INDICATOR).join(p90, INDICATOR)
+    sizes = [F.struct(F.lit(x).alias("size"), c.alias("v")) for x, c in ((False, F.col("change")), (True, F.abs("change")))]
+    both = changes.where(known("change")).select(INDICATOR, F.inline(F.array(*sizes)).alias("_size", "_value"))
+    middle = exact_quantiles(both, [INDICATOR, "_size"], "_value", {"_half": 0.5, "_most": 0.9})
+    centre = middle.groupBy(INDICATOR).agg(
+        F.max(F.when(~F.col("_size"), F.col("_half"))).alias("median"),
+        F.max(F.when(F.col("_size"), F.col("_most"))).alias("_p90"),
+    )
+    pooled = _around(changes, centre, [INDICATOR], "change")
     return settle(
-        stats.where(F.col("n_changes") >= 2).select(
+        pooled.where(F.col("n_values") >= 2).select(
             INDICATOR,
             F.col("scale").alias("pooled_scale"),
             F.greatest("scale", "_p90").alias("magnitude_gate"),
-            "n_changes",
+            F.col("n_values").alias("n_changes"),
         )
     )

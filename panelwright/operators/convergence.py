@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import exact_quantiles, largest_group, top_per_key
+from panelwright.functions.order_stats import exact_quantiles, join_keys, top_per_key
 from panelwright.functions.student_t import t_975_column
 from panelwright.operators.change import known
 from panelwright.schema import INDICATOR, SATURATION_TOLERANCE, SERIES
@@ -127,10 +127,8 @@ def convergence_movers(
     rows = places.join(polar, INDICATOR).withColumn(
         "improvement", F.when(higher, F.col("change")).otherwise(-F.col("change"))
     )
-    middle = exact_quantiles(
-        rows, [INDICATOR], "base_value", {"behind_threshold": 0.5}, largest_group(rows, [INDICATOR])
-    )
-    behind = rows.join(middle, INDICATOR).where(
+    middle = exact_quantiles(rows, [INDICATOR], "base_value", {"behind_threshold": 0.5})
+    behind = join_keys(rows, middle, [INDICATOR]).where(
         F.when(higher, F.col("base_value") <= F.col("behind_threshold")).otherwise(
             F.col("base_value") >= F.col("behind_threshold")
         )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import exact_quantiles, percentile_rank
+from panelwright.functions import order_stats
+from panelwright.functions.order_stats import exact_quantiles, join_keys
 from panelwright.operators import bins, cluster, compare, convergence, priority
 from panelwright.plans import panels
 from panelwright.plans.registry import query, rounded, whole, with_tables
@@ -297,9 +298,10 @@ _PRIORITY_TABLES = (
 _WEIGHTS = {"unserved_pop": 2.0, "stagnation": 0.5}
 
 
-def _priority(spark, sf, **options):
+def _priority(spark, sf, partitions=None):
+    panel = panels.supp_year(spark, sf)
     return priority.compute_priority(
-        panels.supp_year(spark, sf), panels.settings(spark), weights=_WEIGHTS, **options
+        panel.repartition(partitions) if partitions else panel, panels.settings(spark), weights=_WEIGHTS
     )
 
 
@@ -365,7 +367,8 @@ def priority_scores(spark, sf):
     with_tables(_PRIORITY_TABLES, _SCORED_SQL + " FROM scored", _PRIORITY),
 )
 def priority_scores_distributed(spark, sf):
-    return _show_scored(_priority(spark, sf, bound=1).scored)
+    """The same rows from another partitioning."""
+    return _show_scored(_priority(spark, sf, 16).scored)
 
 
 @query(
@@ -439,10 +442,12 @@ def _cells(spark, sf):
     )
 
 
-def _both_ranks(cells, **options):
+_BOTH = {"high_is_worse": ("value", True), "low_is_worse": ("value", False)}
+
+
+def _both_ranks(cells):
     keys = [INDICATOR, "period"]
-    df = percentile_rank(cells, keys, "value", "high_is_worse", **options)
-    df = percentile_rank(df, keys, "value", "low_is_worse", False, **options)
+    df = order_stats.percentile_ranks(cells, keys, _BOTH)
     return df.select(
         INDICATOR, "place_id", whole("period"), rounded("value"), rounded("high_is_worse"),
         rounded("low_is_worse"),
@@ -454,9 +459,40 @@ def percentile_ranks(spark, sf):
     return _both_ranks(settle(_cells(spark, sf)))
 
 
-@query("percentile_ranks_distributed", _RANK_SQL)
+# A second half without an indicator key; infinite where the value is 0, null in one year.
+_EDGE_CELLS = f"""{_CELLS} UNION ALL SELECT NULL, place_id, period, CASE WHEN period = 1995 THEN NULL
+    WHEN value = 0 THEN CAST('-infinity' AS DOUBLE) WHEN value >= 99 THEN CAST('infinity' AS DOUBLE) ELSE value END FROM cust_year"""
+_EDGE_RANK_SQL = with_tables(
+    "cust_year supp_wide supp_year cells",
+    f"""SELECT indicator_key, place_id, CAST(period AS BIGINT) AS period, value IS NULL AS missing,
+    round(CASE WHEN value IS NOT NULL THEN {_pct('value', 'indicator_key, period')} END, 6) AS high_is_worse,
+    round(CASE WHEN value IS NOT NULL THEN 1 - {_pct('value', 'indicator_key, period')} END, 6) AS low_is_worse FROM cells""",
+    {"cells": _EDGE_CELLS},
+)
+
+
+def _edge_cells(spark, sf):
+    value = (
+        F.when(F.col("period") == 1995, None)
+        .when(F.col("value") == 0, float("-inf"))
+        .when(F.col("value") >= 99, float("inf"))
+        .otherwise(F.col("value"))
+    )
+    odd = panels.cust_year(spark, sf).select(
+        F.lit(None).cast("string").alias(INDICATOR), "place_id", "period", value.alias("value")
+    )
+    return _cells(spark, sf).unionByName(odd)
+
+
+@query("percentile_ranks_distributed", _EDGE_RANK_SQL)
 def percentile_ranks_distributed(spark, sf):
-    return _both_ranks(settle(_cells(spark, sf)), bound=1)
+    """With a null key, infinite and null values, from another partitioning."""
+    keys = [INDICATOR, "period"]
+    df = order_stats.percentile_ranks(settle(_edge_cells(spark, sf).repartition(16)), keys, _BOTH)
+    return df.select(
+        INDICATOR, "place_id", whole("period"), F.col("value").isNull().alias("missing"),
+        rounded("high_is_worse"), rounded("low_is_worse"),
+    )
 
 
 _QUANTILE_SQL = with_tables(
@@ -474,12 +510,22 @@ def quantiles(spark, sf):
     return df.select(INDICATOR, *[rounded(c) for c in _PROBS])
 
 
-@query("quantiles_distributed", _QUANTILE_SQL)
+@query(
+    "quantiles_distributed",
+    with_tables(
+        "cust_year supp_wide supp_year cells",
+        """SELECT indicator_key, count(value) AS n, isinf(quantile_disc(value, 0)) AS q0_infinite,
+        round(median(value), 6) AS q50, isinf(quantile_disc(value, 1)) AS q100_infinite FROM cells GROUP BY ALL""",
+        {"cells": _EDGE_CELLS},
+    ),
+)
 def quantiles_distributed(spark, sf):
-    df = exact_quantiles(
-        settle(panels.user_day(spark, sf)), [INDICATOR], "value", _PROBS, bound=1
-    )
-    return df.select(INDICATOR, *[rounded(c) for c in _PROBS])
+    """With a null key, infinite and null values, from another partitioning."""
+    cells = settle(_edge_cells(spark, sf).repartition(16))
+    df = exact_quantiles(cells, [INDICATOR], "value", {"q0": 0.0, "q50": 0.5, "q100": 1.0})
+    counts = cells.groupBy(INDICATOR).agg(F.count("value").alias("n"))
+    infinite = [(F.abs(c) == float("inf")).alias(f"{c}_infinite") for c in ("q0", "q100")]
+    return join_keys(df, counts, [INDICATOR]).select(INDICATOR, "n", rounded("q50"), *infinite)
 
 
 _MEDIAN_SQL = with_tables(
@@ -507,12 +553,28 @@ def weighted_medians(spark, sf):
     return df.select(whole("period"), rounded("weighted_median"))
 
 
-@query("weighted_medians_distributed", _MEDIAN_SQL)
+@query(
+    "weighted_medians_distributed",
+    with_tables(
+        "cust_year coarse",
+        """SELECT place, period, min(v) AS weighted_median FROM (
+          SELECT *, sum(w) OVER (PARTITION BY place, period ORDER BY v) AS upto, sum(w) OVER (PARTITION BY place, period) AS total FROM coarse)
+        WHERE 2 * upto >= total GROUP BY ALL""",
+        {
+            "coarse": """SELECT CAST(CASE WHEN p > 0 THEN p END AS VARCHAR) AS place, CAST(period AS BIGINT) AS period, round(value / 25) * 25 AS v,
+            CAST(0.1 * (1 + CAST(period AS BIGINT) % 3 + p) AS DECIMAL(38, 12)) AS w
+            FROM (SELECT *, CAST(substr(place_id, 6) AS BIGINT) % 5 AS p FROM cust_year)"""
+        },
+    ),
+)
 def weighted_medians_distributed(spark, sf):
-    df = bins.weighted_median(
-        settle(_wide(spark, sf)), ["period"], "share_r", "quantity", "weighted_median", bound=1
+    """Weights of tenths, whose sums often stand on the half, and a null key."""
+    p = F.substring_index("place_id", "/", -1).cast("bigint") % 5
+    weight = (F.lit(0.1) * (1 + F.col("period").cast("bigint") % 3 + F.col("_p"))).alias("w")
+    coarse = panels.cust_year(spark, sf).withColumn("_p", p).select(
+        F.when(F.col("_p") > 0, F.col("_p")).cast("string").alias("place"), whole("period"), (F.round(F.col("value") / 25) * 25).alias("v"), weight
     )
-    return df.select(whole("period"), rounded("weighted_median"))
+    return bins.weighted_median(coarse.repartition(16), ["place", "period"], "v", "w", "weighted_median")
 
 
 def _weighted(column: str) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import largest_group
 from panelwright.functions.student_t import TABLE_UP_TO, expansion_terms, t_975
 from panelwright.operators import anomaly, change, convergence, priority, trend
 from panelwright.plans import panels
@@ -187,9 +186,8 @@ def spikes(spark, sf):
 @query("peer_outliers", with_tables(YOY + " peer_m peer_s peer_z peers", PEER_SQL, CTE))
 def peer_outliers(spark, sf):
     changes = _changes(spark, sf)
-    largest = largest_group(changes, [INDICATOR])
-    scales = change.change_scales(changes, largest)
-    return _show_anomalies(anomaly.detect_peer_outliers(changes, scales, largest=largest))
+    scales = change.change_scales(changes)
+    return _show_anomalies(anomaly.detect_peer_outliers(changes, scales))
 
 
 @query(
