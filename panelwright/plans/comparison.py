@@ -811,14 +811,67 @@ def group_members(spark, sf):
     )
 
 
-@query("archetypes")
+def _archetype_sql(columns: list[str], sizes: list[int], starts: int) -> str:
+    """The whole search in SQL: starts, all rounds one after the other, silhouettes and choice.
+
+    Rounds after the centres rest change nothing, so writing out all of them gives the same.
+    """
+    many = lambda text, sep=", ": sep.join(text.replace("#", c) for c in columns)
+    steps = {
+        "units": f"SELECT count(*) AS n, {many('pow(2.0, floor(log2(max(abs(#)))) + 1 - 40) AS u_#')} FROM matrix",
+        "wholes": f"SELECT place_id, n, {many('CAST(round(# / u_#) AS HUGEINT) AS w_#')} FROM matrix, units",
+        "stats": f"""SELECT {many('CAST(sum(w_#) AS DOUBLE) / max(n) AS m_#, sqrt(CAST(max(n) * sum(w_# * w_#) - sum(w_#) * sum(w_#) AS DOUBLE)) / max(n) AS sd_#')}
+            FROM wholes""",
+        "z": f"SELECT place_id, {many('CAST(floor((w_# - m_#) * (65536 / sd_#) + 0.5) AS BIGINT) AS #')} FROM wholes, stats",
+        "f0": f"""SELECT s, 0 AS j, unnest(arg_min(struct_pack({many('# := #')}), (md5(place_id || '#' || s), place_id)))
+            FROM z, range({starts}) AS t(s) GROUP BY s""",
+    }
+    square = many("(z.# - c.#) * (z.# - c.#)", " + ")
+    for i in range(1, max(sizes)):
+        steps[f"f{i}"] = f"""SELECT * FROM f{i - 1} UNION ALL
+            SELECT s, {i}, unnest(arg_min(struct_pack({many('# := #')}), (-d, place_id))) FROM (
+              SELECT s, place_id, {many('any_value(z.#) AS #')}, min({square}) AS d FROM z, f{i - 1} c GROUP BY s, place_id) GROUP BY s"""
+    wanted = ", ".join(str(k) for k in sizes)
+    steps["c0"] = f"SELECT k, s, j, {many('#')} FROM f{max(sizes) - 1}, unnest([{wanted}]) AS t(k) WHERE j < k"
+    for i in range(cluster.MAX_ROUNDS + 1):
+        steps[f"a{i}"] = f"SELECT k, s, place_id, min({square}) AS d, arg_min(j, ({square}, j)) AS j FROM z, c{i} c GROUP BY ALL"
+        if i < cluster.MAX_ROUNDS:
+            steps[f"c{i + 1}"] = f"""SELECT c.k, c.s, c.j, {many('coalesce(CAST(floor(avg(z.#) + 0.5) AS BIGINT), c.#) AS #')}
+                FROM c{i} c LEFT JOIN a{i} a USING (k, s, j) LEFT JOIN z USING (place_id) GROUP BY c.k, c.s, c.j, {many('c.#')}"""
+    last = cluster.MAX_ROUNDS
+    dot = many("CAST(z.# AS BIGINT) * y.#", " + ")
+    norm = many("z.# * z.#", " + ")
+    steps |= {
+        "cost": f"SELECT k, s, sum(d) AS cost FROM a{last} GROUP BY ALL",
+        "own": f"SELECT a.* FROM a{last} a JOIN (SELECT k, arg_min(s, (cost, s)) AS s FROM cost GROUP BY k) USING (k, s)",
+        "y": f"SELECT k, j, CAST(count(*) AS DOUBLE) AS n, CAST(sum({norm}) AS DOUBLE) AS q, {many('sum(z.#) AS #')} FROM own JOIN z USING (place_id) GROUP BY ALL",
+        "t": f"""SELECT o.k, o.place_id, o.j = y.j AS mine, y.n, y.n * CAST({norm} AS DOUBLE) + y.q - 2 * CAST({dot} AS DOUBLE) AS t
+            FROM own o JOIN z USING (place_id) JOIN y ON y.k = o.k""",
+        "ab": """SELECT k, place_id, max(CASE WHEN mine THEN n END) AS n, max(CASE WHEN mine THEN t / greatest(n - 1, 1) END) AS a,
+            min(CASE WHEN NOT mine THEN t / n END) AS b FROM t GROUP BY ALL""",
+        "sil": """SELECT k, sum(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN CAST(floor((b - a) / greatest(a, b) * 1e9 + 0.5) AS BIGINT) ELSE 0 END) AS score
+            FROM ab GROUP BY k HAVING count(b) > 0""",
+        "best": "SELECT arg_min(k, (-score, k)) AS k FROM sil",
+        "numbered": f"""SELECT c.j, row_number() OVER (ORDER BY {many('c.#')}) - 1 AS cluster FROM (
+            SELECT DISTINCT c.* FROM c{last} c JOIN own USING (k, s, j) JOIN best USING (k)) c""",
+    }
+    body = ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps.items())
+    start = with_tables("supp_wide matrix", "", _GROUPS)
+    return f"""{start}, {body}
+        SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n_places, {many('round(avg(m.#), 4) AS #')}
+        FROM own JOIN best USING (k) JOIN numbered USING (j) JOIN matrix m USING (place_id) GROUP BY cluster"""
+
+
+_SHAPES = ["share_r", "share_a", "revenue"]
+
+
+@query("archetypes", _archetype_sql(_SHAPES, [2, 3, 4, 5, 6], 10))
 def archetypes(spark, sf):
-    found = cluster.compute_archetypes(
-        _matrix(spark, sf), ["share_r", "share_a", "revenue"], n_init=2
-    )
+    found = cluster.compute_archetypes(_matrix(spark, sf), _SHAPES)
     if found is None:
-        return spark.createDataFrame([], "cluster int, n_places bigint, share_r double")
-    return cluster.cluster_sizes(found.labels).join(found.centers, "cluster")
+        return spark.createDataFrame([], "cluster int, n_places bigint, share_r double, share_a double, revenue double")
+    rows = cluster.cluster_sizes(found.labels).join(found.centers, "cluster")
+    return rows.select("cluster", "n_places", *[rounded(c, 4) for c in _SHAPES])
 
 
 @query(

@@ -1,6 +1,7 @@
 """Comparability, priority, bins, wide tables and clusters."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -304,6 +305,34 @@ def test_two_blobs_are_two_groups(spark):
     assert cluster.compute_archetypes(df.limit(1), ["x", "y"]) is None
 
 
+def test_groups_depend_on_the_rows_alone(spark):
+    """Neither the order of rows nor their partitions, with or without runtime re-planning."""
+    rng = random.Random(4)
+    rows = [(f"P{i:03d}", rng.gauss(i % 3 * 2, 1), rng.random() * 1e-9, rng.gauss(0, 1e8)) for i in range(90)]
+    rows += [(f"T{i}", 1.0, 0.0, -5.0) for i in range(9)] + [("flat", None, 1.0, 1.0)]
+    seen = set()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive, parts in ((True, 1), (False, 3), (False, 13)):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            df = spark.createDataFrame(rng.sample(rows, len(rows)), "place_id string, x double, y double, `z 1` double")
+            found = cluster.compute_archetypes(df.repartition(parts), ["x", "y", "z 1"], n_init=3)
+            labels = tuple(sorted((r.place_id, r.cluster) for r in found.labels.collect()))
+            seen.add((labels, tuple(found.silhouettes.items()), found.k_used))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(seen) == 1
+    labels, scores, used = next(iter(seen))
+    assert dict(scores)[used] == max(dict(scores).values()) and len({c for p, c in labels if p[0] == "T"}) == 1
+
+
+def test_a_column_without_spread_and_more_groups_than_values(spark):
+    df = spark.createDataFrame([(f"P{i}", float(i // 5), 7.0) for i in range(10)], "place_id string, x double, y double")
+    found = cluster.compute_archetypes(df, ["x", "y"], n_init=2)
+    assert found.k_used == 2 and found.silhouettes[2] == 1.0
+    assert sorted((r.cluster, r.n_places) for r in cluster.cluster_sizes(found.labels).collect()) == [(0, 5), (1, 5)]
+
+
 def test_group_ranking(spark):
     centers = spark.createDataFrame([(0, 5.0), (1, 2.0), (2, 5.0)], "cluster int, x double")
     r = cluster.rank_groups(centers, "x", "higher_is_better").first()
