@@ -10,11 +10,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions import steps
 from panelwright.functions.text import fixed
 from panelwright.operators.change import known
 from panelwright.schema import INDICATOR, NORMAL_975, SATURATION_TOLERANCE, SERIES
 
-LAST_PROJECTED_PERIOD = 2100
+#: Last calendar year that a projection may reach, on the axis of any unit.
+LAST_PROJECTED_YEAR = 2100
 
 
 def is_saturated(
@@ -121,9 +123,10 @@ def periods_to_target(
     latest_period: Column,
     slope: Column,
     target: Column,
-    last_period: int = LAST_PROJECTED_PERIOD,
+    last_period: Column | int = LAST_PROJECTED_YEAR,
 ) -> Column:
-    """Steps until the target at the present pace; infinite when never, 0 when already there."""
+    """Steps until the target at the present pace; infinite when never or beyond ``last_period``, a
+    step on the series' own axis, and 0 when already there."""
     never = F.lit(math.inf)
     needed = (target - latest) / F.nullif(slope, F.lit(0.0))
     return (
@@ -143,10 +146,16 @@ def progress(
     indicators: DataFrame,
     trends: DataFrame | None = None,
     value: str = "value",
-    last_period: int = LAST_PROJECTED_PERIOD,
+    last_year: int = LAST_PROJECTED_YEAR,
+    horizon: int | None = None,
 ) -> DataFrame:
     """Per series: distance to the target, and when it was or will be reached.
 
+    The unit of a series' steps is that of its latest date (years where ``panel`` has no dates).
+    A projection ends with the last step of ``last_year`` or, if given, ``horizon`` steps ahead.
+    Columns ``_period`` are steps, columns ``_year`` calendar years; a target counts to the last
+    step of its year.
+
     A target met anywhere in the history counts from its first period; otherwise the pace of
     the fitted slope is carried forward. ``indicators`` gives polarity, target_value and
     target_year per indicator_key, the last two possibly null.
@@ -159,6 +168,7 @@ def progress(
         F.col("target_value").cast("double").alias("target_value"),
         F.col("target_year").cast("int").alias("target_year"),
     )
+    date = F.max_by("date", "period") if "date" in panel.columns else F.lit(None).cast("string")
     met = F.col("_sign") * F.col(value) >= F.col("_sign") * F.col("target_value")
     state = (
         panel.where(known(value) & F.col("period").isNotNull())
@@ -166,7 +176,8 @@ def progress(
         .groupBy(*SERIES)
         .agg(
             F.max_by(value, "period").alias("latest_value"),
-            F.max("period").alias("latest_year"),
+            F.max("period").alias("latest_period"),
+            F.coalesce(steps.date_unit(date), F.lit(steps.YEAR)).alias("step_unit"),
             F.first("target_value").alias("target_value"),
             F.first("target_year").alias("target_year"),
             F.first("_sign").alias("_sign"),
@@ -175,28 +186,34 @@ def progress(
         .join(trends.select(*SERIES, "slope"), SERIES, "left")
     )
     sign, target = F.col("_sign"), F.col("target_value")
+    unit = F.col("step_unit")
+    last = steps.last_step(F.lit(last_year), unit) if horizon is None else F.col("latest_period") + horizon
     ahead = periods_to_target(
         sign * F.col("latest_value"),
-        F.col("latest_year"),
+        F.col("latest_period"),
         sign * F.col("slope"),
         sign * target,
-        last_period,
+        last,
     )
     projected = (
         F.when(target.isNull(), F.lit(None))
         .when(F.col("_met").isNotNull(), F.col("_met").cast("double"))
-        .when(F.col("slope").isNotNull(), F.col("latest_year") + ahead)
+        .when(F.col("slope").isNotNull(), F.col("latest_period") + ahead)
     )
-    return state.withColumn("projected_year", projected).select(
+    latest_year = F.floor(steps.calendar_year(F.col("latest_period"), unit)).cast("int")
+    return state.withColumn("projected_period", projected).select(
         *SERIES,
         "latest_value",
-        "latest_year",
+        latest_year.alias("latest_year"),
+        "latest_period",
+        "step_unit",
         "target_value",
         "target_year",
         (sign * (target - F.col("latest_value"))).alias("gap"),
         "slope",
-        "projected_year",
-        (F.col("projected_year") <= F.col("target_year")).alias("on_track"),
+        "projected_period",
+        steps.calendar_year(F.col("projected_period"), unit).alias("projected_year"),
+        (F.col("projected_period") <= steps.last_step(F.col("target_year"), unit)).alias("on_track"),
     )
 
 

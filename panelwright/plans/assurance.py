@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwright.functions import steps
 from panelwright.operators import coverage, lineage, quality
 from panelwright.plans import panels
 from panelwright.plans.registry import query, rounded, whole, with_tables
@@ -109,13 +110,12 @@ def coverage_grid(spark, sf):
         )
         + """ FROM (SELECT g.*, CASE WHEN p.period IS NULL THEN 0 ELSE 1 END AS o
         FROM grid g LEFT JOIN panel p USING (indicator_key, place_id, period)) GROUP BY ALL""",
-        {**CTE, "panel": "SELECT * FROM supp_year WHERE period < 2001"},
+        {**CTE, "panel": "SELECT * FROM supp_year"},
     ),
 )
 def coverage_grid_wide(spark, sf):
     years = list(range(1995, 2002))
-    panel = panels.supp_year(spark, sf).where(F.col("period") < 2001)
-    grid = coverage.coverage_grid(panel, panels.settings(spark))
+    grid = coverage.coverage_grid(panels.supp_year(spark, sf), panels.settings(spark))
     wide = coverage.coverage_grid_wide(grid, years)
     return wide.select(
         INDICATOR, "place_id", *[F.coalesce(F.col(str(y)), F.lit(-1)).cast("bigint").alias(f"y{y}") for y in years]
@@ -172,19 +172,19 @@ def join_audit_unmatched(spark, sf):
     )
 
 
-def _rich_sides(spark, sf):
-    rich = lambda t, k, b, floor: panels.table(spark, sf, t).where(F.col(b) > floor).select(
-        F.concat(F.lit("nation/"), F.col(k).cast("string")).alias("place_id")
-    )
-    return (
-        rich("supplier", "s_nationkey", "s_acctbal", 5000),
-        rich("customer", "c_nationkey", "c_acctbal", 9500),
+def _balance_sides(spark, sf):
+    """Nations and bands of a hundred of balance that suppliers and customers have."""
+    bands = lambda t, k, b: panels.table(spark, sf, t).select(
+        F.concat(
+            F.lit("nation/"), F.col(k).cast("string"), F.lit("/"), F.floor(F.col(b) / 100).cast("string")
+        ).alias("place_id")
     )
+    return bands("supplier", "s_nationkey", "s_acctbal"), bands("customer", "c_nationkey", "c_acctbal")
 
 
 _ASYMMETRY = {
-    "l": "SELECT DISTINCT 'nation/' || s_nationkey AS place_id FROM supplier WHERE s_acctbal > 5000",
-    "r": "SELECT DISTINCT 'nation/' || c_nationkey AS place_id FROM customer WHERE c_acctbal > 9500",
+    side: f"""SELECT DISTINCT 'nation/' || {p}_nationkey || '/' || CAST(floor({p}_acctbal / 100) AS BIGINT) AS place_id FROM {table}"""
+    for side, p, table in (("l", "s", "supplier"), ("r", "c", "customer"))
 }
 
 
@@ -198,7 +198,7 @@ _ASYMMETRY = {
     ),
 )
 def coverage_asymmetry(spark, sf):
-    return coverage.coverage_asymmetry(*_rich_sides(spark, sf))
+    return coverage.coverage_asymmetry(*_balance_sides(spark, sf))
 
 
 @query(
@@ -213,14 +213,14 @@ def coverage_asymmetry(spark, sf):
     ),
 )
 def coverage_asymmetry_finding(spark, sf):
-    return coverage.coverage_asymmetry_finding(*_rich_sides(spark, sf)).drop("evidence")
+    return coverage.coverage_asymmetry_finding(*_balance_sides(spark, sf)).drop("evidence")
 
 
 # ---- rows dropped, rows filtered ----
 
 _SIZED = {
     "sized": """SELECT 'cust/' || c_custkey AS place_id, c_acctbal AS value, population FROM customer LEFT JOIN
-        (SELECT o_custkey, sum(o_totalprice) AS population FROM orders WHERE o_orderstatus = 'F'
+        (SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS population FROM orders
          GROUP BY ALL) ON c_custkey = o_custkey"""
 }
 
@@ -228,9 +228,8 @@ _SIZED = {
 def _sized(spark, sf):
     orders = (
         panels.table(spark, sf, "orders")
-        .where(F.col("o_orderstatus") == "F")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.sum("o_totalprice").alias("population"))
+        .agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("population"))
     )
     return panels.table(spark, sf, "customer").join(orders, "c_custkey", "left").select(
         F.concat(F.lit("cust/"), F.col("c_custkey").cast("string")).alias("place_id"),
@@ -487,7 +486,12 @@ def panel_mean_weighted(spark, sf):
     return mean.select(INDICATOR, whole("period"), rounded("mean"))
 
 
-_PUBLISHED = [("ship/share_r", 33.3), ("ship/share_a", 50.0), ("ship/none", 1.0)]
+# A published figure for every year, of two indicators and of one that is not there.
+_PUBLISHED = [
+    (f"{key}@{year}", figure)
+    for year in range(1992, 2002)
+    for key, figure in (("ship/share_r", 33.3), ("ship/share_a", 50.0), ("ship/none", 1.0))
+]
 
 
 @query(
@@ -497,17 +501,17 @@ _PUBLISHED = [("ship/share_r", 33.3), ("ship/share_a", 50.0), ("ship/none", 1.0)
         """SELECT indicator_key, CASE WHEN abs(m - published) <= 0.5 THEN 'info' ELSE 'error' END AS level,
         CASE WHEN m IS NULL THEN 'CROSS_CHECK_FAILED' ELSE 'HEADLINE_CROSS_CHECK' END AS code,
         round(m, 6) AS weighted_mean, published, round(abs(m - published), 6) AS delta
-        FROM published LEFT JOIN (SELECT s.indicator_key, sum(value * quantity) / sum(quantity) AS m
-        FROM supp_year s JOIN supp_wide USING (place_id, period) WHERE period = 2000 GROUP BY ALL) USING (indicator_key)""",
-        {"published": "SELECT * FROM (VALUES ('ship/share_r', 33.3::DOUBLE), ('ship/share_a', 50.0), ('ship/none', 1.0)) AS v(indicator_key, published)"},
+        FROM published LEFT JOIN (SELECT s.indicator_key || '@' || period AS indicator_key, sum(value * quantity) / sum(quantity) AS m
+        FROM supp_year s JOIN supp_wide USING (place_id, period) GROUP BY ALL) USING (indicator_key)""",
+        {"published": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _PUBLISHED) + ") AS v(indicator_key, published)"},
     ),
 )
 def weighted_mean_check(spark, sf):
-    at = F.col("period") == 2000
+    at = lambda c: F.concat(c, F.lit("@"), F.col("period").cast("string")).alias(c)
     published = literal_table(spark, _PUBLISHED, "indicator_key string, published double")
     df = quality.weighted_mean_check(
-        panels.supp_year(spark, sf).where(at).select(INDICATOR, "place_id", "value"),
-        _supp_weights(spark, sf).where(at).select("place_id", "weight"),
+        panels.supp_year(spark, sf).select(at(INDICATOR), at("place_id"), "value"),
+        _supp_weights(spark, sf).select(at("place_id"), "weight"),
         published,
     )
     return df.select(
@@ -519,8 +523,8 @@ def weighted_mean_check(spark, sf):
 
 _LINEAGE_PANEL = {
     "lp": """SELECT *, 'prov/' || facet_id AS provenance_id FROM latest_point""",
-    "shapes": """SELECT 'user/' || user_id AS place_id FROM events GROUP BY ALL HAVING max(value) < 300
-        UNION ALL SELECT 'cust/' || c_custkey FROM customer WHERE c_acctbal > 0""",
+    "shapes": """SELECT CASE WHEN max(value) < 300 THEN 'user/' ELSE 'busy/' END || user_id AS place_id FROM events GROUP BY user_id
+        UNION ALL SELECT CASE WHEN c_acctbal > 0 THEN 'cust/' ELSE 'debtor/' END || c_custkey FROM customer""",
 }
 
 
@@ -539,13 +543,13 @@ def _shapes(spark, sf):
         panels.table(spark, sf, "events")
         .groupBy("user_id")
         .agg(F.max("value").alias("_top"))
-        .where(F.col("_top") < 300)
-        .select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("place_id"))
-    )
-    customers = panels.table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
-    return users.unionByName(
-        customers.select(F.concat(F.lit("cust/"), F.col("c_custkey").cast("string")).alias("place_id"))
+        .select(
+            F.concat(F.when(F.col("_top") < 300, "user/").otherwise("busy/"), F.col("user_id").cast("string")).alias("place_id")
+        )
     )
+    owner = F.when(F.col("c_acctbal") > 0, "cust/").otherwise("debtor/")
+    customers = panels.table(spark, sf, "customer")
+    return users.unionByName(customers.select(F.concat(owner, F.col("c_custkey").cast("string")).alias("place_id")))
 
 
 _CHECKS = {
@@ -698,3 +702,81 @@ def cited_rows(spark, sf):
     return rows.groupBy(INDICATOR).agg(
         F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total")
     )
+
+
+# ---- one axis per indicator ----
+
+_MIXED = """SELECT 'mixed/orders' AS indicator_key, place_id, date, value FROM cust_year UNION ALL
+    SELECT 'mixed/orders', place_id, printf('%04d-%02d', period // 12, period % 12 + 1), value FROM nation_month UNION ALL
+    SELECT 'quarters/orders', place_id, printf('%04d-Q%d', period // 12, period % 12 // 3 + 1), value FROM nation_month WHERE period % 3 = 0 UNION ALL
+    SELECT 'quarters/orders', place_id, 'spring', value FROM nation_month WHERE period % 12 = 5 UNION ALL
+    SELECT 'declared/orders', place_id, printf('%04d-%02d', period // 12, period % 12 + 1), value FROM nation_month WHERE period % 3 = 1 UNION ALL
+    SELECT indicator_key, place_id, replace(date, '-', ''), value FROM user_day"""
+_STEPPED = """SELECT *, CASE WHEN date = 'spring' THEN NULL WHEN indicator_key LIKE 'events/%' THEN 'day' WHEN indicator_key IN ('quarters/orders', 'declared/orders')
+    THEN 'quarter' WHEN length(date) = 4 THEN 'year' ELSE 'month' END AS u FROM mixed"""
+
+
+def _mixed(spark, sf):
+    months = panels.nation_month(spark, sf)
+    step = F.col("period")
+
+    def rows(df, key, date, period="P1Y"):
+        key = F.lit(key) if key else F.col(INDICATOR)
+        return df.select(
+            key.alias(INDICATOR), "place_id", F.lit(None).cast("int").alias("period"), date.alias("date"), "value",
+            F.lit(period).alias("observation_period"),
+        )
+
+    month = steps.date_of(step, F.lit(steps.MONTH))
+    quarter = steps.date_of(F.floor(step / 3).cast("int"), F.lit(steps.QUARTER))
+    parts = [
+        rows(panels.cust_year(spark, sf), "mixed/orders", F.col("date")),
+        rows(months, "mixed/orders", month, None),
+        rows(months.where(step % 3 == 0), "quarters/orders", quarter, None),
+        rows(months.where(step % 12 == 5), "quarters/orders", F.lit("spring"), None),
+        rows(months.where(step % 3 == 1), "declared/orders", month, "P3M"),
+        rows(panels.user_day(spark, sf), None, F.replace("date", F.lit("-"), F.lit("")), "P1D"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(
+    "step_unit_panel",
+    with_tables(
+        "cust_year nation_month user_day mixed stepped units",
+        """SELECT indicator_key, place_id, date, u AS step_unit, CAST(CASE u WHEN 'year' THEN CAST(date AS INTEGER)
+        WHEN 'quarter' THEN CAST(substr(date, 1, 4) AS INTEGER) * 4 + CASE WHEN date LIKE '%Q%' THEN CAST(right(date, 1) AS INTEGER) - 1
+            ELSE (CAST(right(date, 2) AS INTEGER) - 1) // 3 END
+        WHEN 'month' THEN CAST(substr(date, 1, 4) AS INTEGER) * 12 + CAST(right(date, 2) AS INTEGER) - 1
+        ELSE date_diff('day', DATE '1970-01-01', CAST(strptime(date, '%Y%m%d') AS DATE)) END AS BIGINT) AS period
+        FROM stepped JOIN units USING (indicator_key) WHERE u = step_unit""",
+        {
+            "mixed": _MIXED, "stepped": _STEPPED,
+            "units": """SELECT indicator_key, arg_min(u, (-n, CASE u WHEN 'year' THEN 1 WHEN 'quarter' THEN 2 WHEN 'month' THEN 3 ELSE 4 END)) AS step_unit
+            FROM (SELECT indicator_key, u, count(*) AS n FROM stepped WHERE u IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
+        },
+    ),
+)
+def step_unit_panel(spark, sf):
+    """Every row on its indicator's axis: years, quarters, months, days and compact days."""
+    found = quality.one_step_unit(_mixed(spark, sf)).panel
+    return found.select(INDICATOR, "place_id", "date", "step_unit", whole("period"))
+
+
+@query(
+    "step_unit_findings",
+    with_tables(
+        "cust_year nation_month user_day mixed stepped",
+        """SELECT indicator_key, CASE WHEN u IS NULL THEN 'UNREADABLE_DATE' ELSE 'MIXED_STEPS' END AS code,
+        count(*) || ' rows are not on the axis of the indicator' AS message
+        FROM stepped WHERE u IS NULL OR u <> (SELECT mode FROM (SELECT indicator_key AS k, arg_min(u, (-n, u = 'month')) AS mode
+            FROM (SELECT indicator_key, u, count(*) AS n FROM stepped WHERE u IS NOT NULL GROUP BY ALL) GROUP BY ALL) WHERE k = indicator_key)
+        GROUP BY indicator_key, u""",
+        {"mixed": _MIXED, "stepped": _STEPPED},
+    ),
+)
+def step_unit_findings(spark, sf):
+    return quality.one_step_unit(_mixed(spark, sf)).findings.drop("level", "evidence")

@@ -27,8 +27,8 @@ _PAIRS = [
 
 
 def _spec_panel(spark, sf):
-    rich = panels.table(spark, sf, "supplier").where(F.col("s_acctbal") > 6000).select(
-        F.lit("supp/rich").alias(INDICATOR),
+    rich = panels.table(spark, sf, "supplier").select(
+        F.when(F.col("s_acctbal") > 6000, "supp/rich").otherwise("supp/other").alias(INDICATOR),
         F.concat(F.lit("supp/"), F.col("s_suppkey").cast("string")).alias("place_id"),
     )
     keys = [INDICATOR, "place_id"]
@@ -53,7 +53,7 @@ _SPEC = {
     + ") AS v(left_key, right_key)",
     "presence": """SELECT DISTINCT indicator_key, place_id FROM supp_year UNION ALL
         SELECT DISTINCT indicator_key, place_id FROM cust_year UNION ALL
-        SELECT 'supp/rich', 'supp/' || s_suppkey FROM supplier WHERE s_acctbal > 6000""",
+        SELECT CASE WHEN s_acctbal > 6000 THEN 'supp/rich' ELSE 'supp/other' END, 'supp/' || s_suppkey FROM supplier""",
     "canon": "SELECT d.*, canonical FROM dims d LEFT JOIN aliases a ON d.dim = a.dim AND d.raw = a.alias",
     "meta": "SELECT s.*, family FROM settings s LEFT JOIN families ON unit = member",
     "both_dims": """SELECT left_key, right_key, string_agg(l.dim, ',' ORDER BY l.dim) AS names,
@@ -76,8 +76,8 @@ _SPEC = {
         JOIN meta r ON right_key = r.indicator_key""",
     "specs": """SELECT j.*, CASE WHEN n_shared = 0 OR shared_years = 0 THEN 'blocked'
         WHEN unit_relation IN ('same', 'same_family') THEN 'direct' ELSE 'axes_only' END AS comparability FROM judged j""",
-    "latest": """SELECT indicator_key, place_id, max_by(value, period) AS value, max_by(date, period) AS date
-        FROM supp_year WHERE value >= 30 GROUP BY ALL""",
+    "latest": """SELECT indicator_key, place_id, max_by(value, (value >= 30, period)) AS value, max_by(date, (value >= 30, period)) AS date
+        FROM supp_year GROUP BY ALL""",
     "points": """SELECT s.left_key, s.right_key, l.place_id, l.date AS left_date, r.date AS right_date,
         l.value AS left_value, r.value AS right_value, l.date = r.date AS same_year,
         CASE WHEN unit_relation IN ('same', 'same_family') THEN r.value - l.value END AS difference
@@ -133,11 +133,12 @@ def join_specs(spark, sf):
 
 
 def _points(spark, sf):
+    # The last year with a value of 30 or more, else the last: so the two dates of a pair differ.
+    order = F.struct(F.col("value") >= 30, "period")
     latest = (
         panels.supp_year(spark, sf)
-        .where(F.col("value") >= 30)
         .groupBy(INDICATOR, "place_id")
-        .agg(F.max_by("value", "period").alias("value"), F.max_by("date", "period").alias("date"))
+        .agg(F.max_by("value", order).alias("value"), F.max_by("date", order).alias("date"))
     )
     return compare.compare_points(latest, _specs(spark, sf))
 
@@ -877,7 +878,7 @@ def archetypes(spark, sf):
 @query(
     "named_movers",
     with_tables(
-        _PRIORITY_TABLES + " span ends middle movers",
+        _PRIORITY_TABLES + " span ends middle behind movers",
         """SELECT m.indicator_key, list, position, m.place_id, coalesce(' (priority rank #' || priority_rank || ' of '
         || priority_total || ')', '') AS priority_suffix FROM movers m LEFT JOIN placed USING (indicator_key, place_id)""",
         {
@@ -889,10 +890,12 @@ def archetypes(spark, sf):
             "middle": """SELECT e.*, median(base_value) OVER (PARTITION BY indicator_key) AS m, polarity,
                 CASE WHEN polarity = 'higher_is_better' THEN change ELSE -change END AS improvement
                 FROM ends e JOIN settings USING (indicator_key)""",
+            "behind": """SELECT * FROM middle
+                WHERE (polarity = 'higher_is_better' AND base_value <= m) OR (polarity = 'lower_is_better' AND base_value >= m)""",
             "movers": """SELECT *, 'catching_up' AS list, row_number() OVER (PARTITION BY indicator_key
-                ORDER BY improvement DESC, place_id) AS position FROM middle
-                WHERE (polarity = 'higher_is_better' AND base_value <= m) OR (polarity = 'lower_is_better' AND base_value >= m)
-                QUALIFY position <= 5""",
+                ORDER BY improvement DESC, place_id) AS position FROM behind QUALIFY position <= 5
+                UNION ALL SELECT *, 'falling_behind', row_number() OVER (PARTITION BY indicator_key
+                ORDER BY improvement, place_id) AS position FROM behind QUALIFY position <= 5""",
         },
     ),
 )
@@ -905,5 +908,5 @@ def named_movers(spark, sf):
     placed = priority.priority_positions(
         scored.withColumn("priority_score", F.round("priority_score", 9))
     )
-    named = priority.with_priority_suffix(movers.where(F.col("list") == "catching_up"), placed)
+    named = priority.with_priority_suffix(movers, placed)
     return named.select(INDICATOR, "list", "position", "place_id", "priority_suffix")

@@ -536,7 +536,7 @@ def upstream_producers(spark, sf):
     "upsert_metadata",
     """SELECT 'part/' || p_partkey AS key, p_name AS label, 'old' AS status FROM part
     WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0.0)
-    UNION ALL SELECT DISTINCT 'part/' || l_partkey, 'measured', 'new' FROM lineitem WHERE l_discount = 0.0""",
+    UNION ALL SELECT DISTINCT CASE WHEN l_discount = 0.0 THEN 'part/' ELSE 'offer/' END || l_partkey, 'measured', 'new' FROM lineitem""",
 )
 def upsert_metadata(spark, sf):
     old = panels.table(spark, sf, "part").select(
@@ -546,11 +546,10 @@ def upsert_metadata(spark, sf):
     )
     new = (
         panels.table(spark, sf, "lineitem")
-        .where(F.col("l_discount") == 0.0)
-        .select("l_partkey")
+        .select(F.when(F.col("l_discount") == 0.0, "part/").otherwise("offer/").alias("kind"), "l_partkey")
         .distinct()
         .select(
-            F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("key"),
+            F.concat("kind", F.col("l_partkey").cast("string")).alias("key"),
             F.lit("measured").alias("label"),
             F.lit("new").alias("status"),
         )
@@ -658,16 +657,17 @@ def select_places(spark, sf):
         "nation_points sizes",
         """SELECT indicator_key, place_id, value, population FROM nation_points JOIN sizes USING (place_id)""",
         {
-            "sizes": """SELECT 'nation/' || c_nationkey AS place_id, count(*) AS population FROM customer
-            WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 GROUP BY ALL"""
+            "sizes": """SELECT CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 9000 THEN 'nation/' ELSE 'elsewhere/' END
+            || c_nationkey AS place_id, count(*) AS population FROM customer GROUP BY ALL"""
         },
     ),
 )
 def attach_population(spark, sf):
+    chosen = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000)
+    where = F.when(chosen, "nation/").otherwise("elsewhere/")
     sizes = (
         panels.table(spark, sf, "customer")
-        .where((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000))
-        .groupBy(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("place_id"))
+        .groupBy(F.concat(where, F.col("c_nationkey").cast("string")).alias("place_id"))
         .agg(F.count("*").alias("population"))
     )
     kept = places.attach_population(panels.nation_points(spark, sf), sizes).kept

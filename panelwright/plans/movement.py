@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwright.functions import steps
 from panelwright.functions.student_t import TABLE_UP_TO, expansion_terms, t_975
 from panelwright.operators import anomaly, change, convergence, priority, trend
 from panelwright.plans import panels
@@ -350,30 +351,52 @@ def trend_fit_lines(spark, sf):
     return df.select("indicator_key", "place_id", whole("period"), rounded("value"), rounded("fitted"))
 
 
-_PROGRESS = """SELECT *, CASE WHEN target_value IS NULL THEN NULL WHEN met IS NOT NULL THEN met
+_AHEAD = "(sg * target_value - sg * latest_value) / (sg * slope)"
+_LAST = """CASE step_unit WHEN 'month' THEN {y} * 12 + 11 WHEN 'day'
+    THEN date_diff('day', DATE '1970-01-01', make_date({y}, 12, 31)) ELSE {y} END"""
+_CALENDAR = "CASE step_unit WHEN 'month' THEN {p} / 12 WHEN 'day' THEN 1970 + {p} / 365.2425::DOUBLE ELSE {p}::DOUBLE END"
+_PROGRESS = f"""SELECT *, {_CALENDAR.format(p='projected_period')} AS projected_year,
+    CAST(floor({_CALENDAR.format(p='latest_period')}) AS BIGINT) AS latest_year,
+    projected_period <= {_LAST.format(y='target_year')} AS on_track FROM (
+    SELECT *, CASE WHEN target_value IS NULL THEN NULL WHEN met IS NOT NULL THEN met
     WHEN slope IS NULL THEN NULL WHEN sg * slope <= 0 THEN 'inf'::DOUBLE
-    WHEN (sg * target_value - sg * latest_value) / (sg * slope) <= 0 THEN latest_year
-    WHEN latest_year + (sg * target_value - sg * latest_value) / (sg * slope) > 2100 THEN 'inf'::DOUBLE
-    ELSE latest_year + (sg * target_value - sg * latest_value) / (sg * slope) END AS projected_year
-    FROM (SELECT indicator_key, place_id, any_value(target_value) AS target_value,
+    WHEN {_AHEAD} <= 0 THEN latest_period
+    WHEN latest_period + {_AHEAD} > {_LAST.format(y='2100')} THEN 'inf'::DOUBLE
+    ELSE latest_period + {_AHEAD} END AS projected_period
+    FROM (SELECT indicator_key, place_id, any_value(target_value) AS target_value, any_value(step_unit) AS step_unit,
           any_value(target_year) AS target_year, any_value(sg) AS sg, max_by(value, period) AS latest_value,
-          max(period) AS latest_year, min(CASE WHEN sg * value >= sg * target_value THEN period END)::DOUBLE AS met
+          max(period) AS latest_period, min(CASE WHEN sg * value >= sg * target_value THEN period END)::DOUBLE AS met
           FROM panel JOIN (SELECT *, CASE WHEN polarity = 'lower_is_better' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sg
-          FROM settings) USING (indicator_key) GROUP BY ALL) LEFT JOIN trends USING (indicator_key, place_id)"""
-_PROGRESS_TABLES = "cust_year supp_wide supp_year panel settings centred trends progress"
+          FROM targets) USING (indicator_key) GROUP BY ALL) LEFT JOIN trends USING (indicator_key, place_id))"""
+_PROGRESS_TABLES = "cust_year supp_wide supp_year user_day nation_month panel settings targets centred trends progress"
+_PANEL_COLUMNS = "indicator_key, place_id, period, date, value"
 _PROGRESS_EXTRA = {
     **CTE, **_trend_tables("panel"), "progress": _PROGRESS,
-    "panel": """SELECT indicator_key, place_id, period, date, value FROM cust_year UNION ALL
-        SELECT indicator_key, place_id, period, date, value FROM supp_year""",
+    "panel": f"""SELECT {_PANEL_COLUMNS}, 'year' AS step_unit FROM cust_year UNION ALL
+        SELECT {_PANEL_COLUMNS}, 'year' FROM supp_year UNION ALL SELECT {_PANEL_COLUMNS}, 'day' FROM user_day UNION ALL
+        SELECT indicator_key, place_id, period, printf('%04d-%02d', period // 12, period % 12 + 1), value, 'month' FROM nation_month""",
+    # The targets of day and month panels are steps in the settings; a target is a calendar year.
+    "targets": """SELECT * REPLACE (CASE WHEN target_year > 24000 THEN target_year // 12 WHEN target_year > 19000
+        THEN 1970 + (target_year - 365) // 365 ELSE target_year END AS target_year) FROM settings""",
 }
 
 
+def _stepped_panel(spark, sf):
+    """Panels of years, months and days, each date written in its unit."""
+    columns = ["indicator_key", "place_id", "period", "date", "value"]
+    months = panels.nation_month(spark, sf).withColumn("date", steps.date_of(F.col("period"), F.lit(steps.MONTH)))
+    parts = (panels.cust_year(spark, sf), panels.supp_year(spark, sf), panels.user_day(spark, sf), months)
+    first, *rest = (p.select(*columns) for p in parts)
+    for other in rest:
+        first = first.unionByName(other)
+    return first
+
+
 def _progress(spark, sf):
-    columns = ["indicator_key", "place_id", "period", "value"]
-    panel = panels.cust_year(spark, sf).select(*columns).unionByName(
-        panels.supp_year(spark, sf).select(*columns)
-    )
-    return trend.progress(panel, panels.settings(spark))
+    t = F.col("target_year")
+    year = F.when(t > 24000, F.floor(t / 12)).when(t > 19000, 1970 + F.floor((t - 365) / 365)).otherwise(t)
+    targets = panels.settings(spark).withColumn("target_year", year.cast("int"))
+    return trend.progress(settle(_stepped_panel(spark, sf)), targets)
 
 
 @query(
@@ -384,7 +407,8 @@ def _progress(spark, sf):
         CAST(latest_year AS BIGINT) AS latest_year,
         round(sg * (target_value - latest_value), 4) AS gap, round(slope, 6) AS slope,
         CASE WHEN projected_year = 'inf'::DOUBLE THEN 999999 ELSE round(projected_year, 6) END AS projected_year,
-        coalesce(CAST(projected_year <= target_year AS VARCHAR), 'unknown') AS on_track FROM progress""",
+        step_unit, CAST(latest_period AS BIGINT) AS latest_period,
+        coalesce(CAST(on_track AS VARCHAR), 'unknown') AS on_track FROM progress""",
         _PROGRESS_EXTRA,
     ),
 )
@@ -394,6 +418,7 @@ def progress(spark, sf):
         "indicator_key", "place_id", rounded("latest_value", 4), whole("latest_year"),
         rounded("gap", 4), rounded("slope"),
         F.when(year == float("inf"), 999999.0).otherwise(F.round(year, 6)).alias("projected_year"),
+        "step_unit", whole("latest_period"),
         F.coalesce(F.col("on_track").cast("string"), F.lit("unknown")).alias("on_track"),
     )
 
@@ -402,7 +427,8 @@ def progress(spark, sf):
     "progress_table",
     with_tables(
         _PROGRESS_TABLES,
-        """SELECT indicator_key, place_id, place_id AS country, CAST(latest_year AS BIGINT) AS latest_year,
+        """SELECT indicator_key, place_id, CASE WHEN place_id LIKE 'user/%' AND CAST(substr(place_id, 6) AS INTEGER) % 7 <> 0
+        THEN 'User ' || substr(place_id, 6) ELSE place_id END AS country, CAST(latest_year AS BIGINT) AS latest_year,
         CAST(printf('%.1f', latest_value) AS DOUBLE) AS latest,
         CASE WHEN target_value IS NULL THEN NULL WHEN sg * (target_value - latest_value) <= 0 THEN 'Met'
              ELSE printf('%.1f', sg * (target_value - latest_value)) || ' remaining' END AS gap_to_target,
@@ -410,7 +436,7 @@ def progress(spark, sf):
              WHEN projected_year = 'inf'::DOUBLE THEN 'Not at current pace'
              ELSE printf('%.0f', round(projected_year, 6)) END AS reaches_target,
         CASE WHEN target_year IS NULL THEN NULL WHEN projected_year IS NULL THEN '—'
-             WHEN projected_year <= target_year THEN '✅ Yes' ELSE '❌ No' END AS on_track FROM progress""",
+             WHEN on_track THEN '✅ Yes' ELSE '❌ No' END AS on_track FROM progress""",
         _PROGRESS_EXTRA,
     ),
 )
@@ -428,7 +454,7 @@ _T_TAIL = f"{NORMAL_975}::DOUBLE + " + " + ".join(
     f"{c!r}::DOUBLE / (n_places - 2) ** {i}" for i, c in enumerate(expansion_terms(), start=1)
 )
 _CONVERGENCE = {
-    "panel": _PROGRESS_EXTRA["panel"],
+    "panel": f"""SELECT {_PANEL_COLUMNS} FROM cust_year UNION ALL SELECT {_PANEL_COLUMNS} FROM supp_year""",
     "span": "SELECT indicator_key, min(period) AS b, max(period) AS e FROM panel GROUP BY ALL",
     "ends": """SELECT x.indicator_key, x.place_id, x.value AS base_value, y.value AS end_value,
         y.value - x.value AS change FROM panel x JOIN span s ON x.indicator_key = s.indicator_key AND x.period = b

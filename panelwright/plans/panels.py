@@ -151,13 +151,13 @@ def latest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with suppliers, and nations with customers in debt, as two indicators."""
+    """Balances by nation of suppliers, and of customers in debt and in credit."""
     s = table(spark, sf_dir, "supplier").select(
         F.lit("supplier/balance").alias("indicator_key"), F.col("s_nationkey").alias("n"),
         F.col("s_acctbal").alias("b"),
     )
-    c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0).select(
-        F.lit("customer/debt").alias("indicator_key"), F.col("c_nationkey").alias("n"),
+    c = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_acctbal") < 0, "customer/debt").otherwise("customer/credit").alias("indicator_key"), F.col("c_nationkey").alias("n"),
         F.col("c_acctbal").alias("b"),
     )
     return (
@@ -406,7 +406,7 @@ SQL = {
               AS rn FROM orders) WHERE rn = 1""",
     "nation_points": """SELECT k AS indicator_key, 'nation/' || n AS place_id, round(sum(b), 2) AS value
         FROM (SELECT 'supplier/balance' AS k, s_nationkey AS n, s_acctbal AS b FROM supplier UNION ALL
-              SELECT 'customer/debt', c_nationkey, c_acctbal FROM customer WHERE c_acctbal < 0) GROUP BY ALL""",
+              SELECT CASE WHEN c_acctbal < 0 THEN 'customer/debt' ELSE 'customer/credit' END, c_nationkey, c_acctbal FROM customer) GROUP BY ALL""",
     "geometry": """SELECT 'nation/' || n_nationkey AS place_id FROM nation WHERE n_regionkey <> 4
         UNION ALL SELECT 'region/' || r_regionkey FROM region WHERE r_regionkey = 0""",
     "user_names": """SELECT DISTINCT 'user/' || user_id AS place_id,

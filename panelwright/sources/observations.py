@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions import steps
 from panelwright.functions.ids import code_after_slash, country_place_id
 from panelwright.schema import (
     AGGREGATE_REGION,
@@ -29,15 +30,10 @@ SECOND_SOURCE_FACET = {
 
 
 def period_of(date: Column) -> Column:
-    """The step a date stands for: a year or plain number itself, months counted from year 0, days
-    from 1970-01-01. Null for anything else, so that no two dates fall into one step unseen.
+    """The step a date stands for, on the axis of the unit it is written in (``functions.steps``).
+    Null for anything else, so that no two dates fall into one step unseen.
     """
-    year, month = (F.regexp_extract(date, "^([0-9]{4})-([0-9]{2})$", i).try_cast("int") for i in (1, 2))
-    return (
-        F.when(date.rlike("^-?[0-9]{1,6}$"), date.try_cast("int"))
-        .when(month.between(1, 12), year * 12 + month - 1)
-        .when(date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.unix_date(date.try_cast("date")))
-    )
+    return steps.step_of(date)
 
 
 # ---- readers ----
