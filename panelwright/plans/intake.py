@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelwright.functions import ids
-from panelwright.operators import lineage, places
+from panelwright.operators import coverage, lineage, places
 from panelwright.plans import panels
 from panelwright.plans.registry import query, rounded, whole, with_tables
 from panelwright.schema import INDICATOR, PAYLOAD, literal_table
-from panelwright.sources import catalog, observations
+from panelwright.sources import catalog, json_documents, observations
+from panelwright.staging import settle, staging_folder
 
 # ---- identifiers ----
 
@@ -315,6 +318,70 @@ def payload_points(spark, sf):
     )
 
 
+@query(
+    "payload_document_parts",
+    with_tables(
+        "latest_point",
+        """SELECT indicator_key, place_id, date, value, 'unit of ' || facet_id AS unit, facet_id FROM latest_point""",
+    ),
+)
+def payload_document_parts(spark, sf):
+    """Payload files read as documents by byte ranges, not by lines."""
+    payloads = observations.encode_points(_described(panels.latest_point(spark, sf)), per_row=500)
+    path = f"{staging_folder(spark).rstrip('/')}/panelwright/documents-{uuid.uuid4().hex}"
+    payloads.select(F.to_json(F.struct("data", "facets"))).write.text(path)
+    meta = _payload_meta(spark, ["events/latest", "orders/latest"])
+    df = observations.decode_points(json_documents.read_payload_parts(spark, path), meta)
+    return df.select(INDICATOR, "place_id", "date", "value", "unit", "facet_id")
+
+
+@query(
+    "snapshot_round_trip",
+    with_tables(
+        "latest_point",
+        """SELECT indicator_key, place_id, date, value, facet_id FROM latest_point UNION ALL
+        SELECT 'parts/latest', NULL, NULL, NULL, 'EMPTY_RESPONSE' WHERE 'parts/latest' NOT IN (SELECT indicator_key FROM latest_point)""",
+    ),
+)
+def snapshot_round_trip(spark, sf):
+    """Written twice, the first time with other values; only what the manifest names comes back."""
+    path = f"{staging_folder(spark).rstrip('/')}/panelwright/snapshot-{uuid.uuid4().hex}"
+    latest = settle(_described(panels.latest_point(spark, sf)))
+    meta = _payload_meta(spark, ["events/latest", "orders/latest", "parts/latest"])
+    names = panels.user_names(spark, sf)
+    observations.write_snapshot(latest.withColumn("value", -F.col("value")), meta, names, path)
+    skipped = observations.write_snapshot(latest, meta, names, path)
+    rows, _ = observations.read_snapshot(spark, path, meta)
+    none = F.lit(None)
+    told = skipped.select(
+        INDICATOR, none.cast("string").alias("place_id"), none.cast("string").alias("date"),
+        none.cast("double").alias("value"), F.col("code").alias("facet_id"),
+    )
+    return rows.select(INDICATOR, "place_id", "date", "value", "facet_id").unionByName(told)
+
+
+@query(
+    "gap_file_round_trip",
+    with_tables(
+        "cust_year settings gaps",
+        "SELECT indicator_key, place_id, CAST(period AS BIGINT) AS period FROM gaps",
+        {
+            "gaps": """SELECT indicator_key, place_id, p AS period FROM (
+            SELECT DISTINCT indicator_key, place_id, unnest(generate_series(temporal_start, temporal_end)) AS p
+            FROM cust_year JOIN settings USING (indicator_key)) g
+            ANTI JOIN cust_year c ON c.indicator_key = g.indicator_key AND c.place_id = g.place_id AND c.period = g.p"""
+        },
+    ),
+)
+def gap_file_round_trip(spark, sf):
+    """The holes of the grid, written as CSV and read again."""
+    path = f"{staging_folder(spark).rstrip('/')}/panelwright/gaps-{uuid.uuid4().hex}"
+    holes = coverage.missing_cells(panels.cust_year(spark, sf), panels.settings(spark))
+    coverage.write_missing_cells(holes, path)
+    back = spark.read.schema("indicator_key string, place_id string, period bigint").option("header", True).csv(path)
+    return back.select(INDICATOR, "place_id", "period")
+
+
 @query(
     "payload_series",
     with_tables(

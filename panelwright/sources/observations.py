@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions import steps
 from panelwright.functions.ids import code_after_slash, country_place_id
@@ -266,36 +269,70 @@ def encode_points(latest: DataFrame, per_row: int = PLACES_PER_ROW) -> DataFrame
 
 
 def encode_series(panel: DataFrame, per_row: int = PLACES_PER_ROW) -> DataFrame:
-    """Series payloads: per place the points by rising date, known values only."""
+    """Series payloads: per place and facet the points by rising date, known values only.
+
+    A payload has one series of a place, so a second facet of a place stands in a row of its own.
+    """
     known = panel.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    per_place = known.groupBy(INDICATOR, "variable_id", "place_id").agg(
+    described = ["unit", "unit_display", "provenance_id", "provenance_url", "observation_period"]
+    period = [] if "observation_period" in panel.columns else [F.lit(None).cast("string").alias("observation_period")]
+    by = [INDICATOR, "variable_id", "place_id", "facet_id"]
+    per_place = known.select("*", *period).groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("date", "value"))).alias("series"),
-        *[
-            F.first(c).alias(c)
-            for c in ("facet_id", "unit", "unit_display", "provenance_id", "provenance_url")
-        ],
-        F.lit(None).cast("string").alias("observation_period"),
+        *[F.min(c).alias(c) for c in described],
     )
     observation = F.struct(F.col("facet_id").alias("facet"), "series")
     places = F.map_from_entries(F.collect_list(F.struct(F.col("place_id"), observation)))
+    nth = F.row_number().over(Window.partitionBy(INDICATOR, "variable_id", "place_id").orderBy("facet_id"))
     return (
-        _chunks(per_place, per_row)
-        .groupBy(INDICATOR, "variable_id", "_chunk")
+        _chunks(per_place.withColumn("_nth", nth), per_row)
+        .groupBy(INDICATOR, "variable_id", "_chunk", "_nth")
         .agg(places.alias("_places"), _facet_map().alias("facets"))
         .select(INDICATOR, F.create_map("variable_id", "_places").alias("data"), "facets")
     )
 
 
+MANIFEST = "indicator_key string, folder string, n_places long, written_at timestamp"
+
+
 def write_snapshot(
     latest: DataFrame, requested: DataFrame, names: DataFrame, path: str
 ) -> DataFrame:
-    """Writes payloads by indicator and the place names; returns what was skipped as empty."""
-    encode_points(latest).write.mode("overwrite").partitionBy(INDICATOR).json(f"{path}/points")
+    """Writes payloads by indicator and the place names; returns what was skipped as empty.
+
+    Every write goes to a folder of its own and counts once its manifest is there, which is
+    written last: a row per indicator with the folder that holds it. A write that was lost, or of
+    which only parts are there, is never seen; of several the last one of an indicator counts.
+    """
+    spark = latest.sparkSession
+    folder = f"write={uuid.uuid4().hex}"
+    encode_points(latest).write.partitionBy(INDICATOR).json(f"{path}/points/{folder}")
     used = names.join(latest.select("place_id").distinct(), "place_id", "left_semi")
     used.where(F.col("place_name") != "").write.mode("overwrite").json(f"{path}/place_names")
+    written = latest.groupBy(INDICATOR).agg(F.count("*").alias("n_places"))
+    manifest = written.select(
+        INDICATOR, F.lit(folder).alias("folder"), "n_places", F.current_timestamp().alias("written_at")
+    )
+    manifest.coalesce(1).write.mode("append").json(f"{path}/manifest")
     return empty_responses(latest, requested)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The write that counts of each indicator: its last."""
+    rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    last = F.max_by(F.struct("folder", "n_places", "written_at"), F.struct("written_at", "folder"))
+    return rows.groupBy(INDICATOR).agg(last.alias("_m")).select(INDICATOR, "_m.*")
+
+
 def read_snapshot(spark: SparkSession, path: str, indicators: DataFrame):
-    """(long rows, findings) of a written snapshot, variables found by content."""
-    return snapshot_points(read_payloads(spark, f"{path}/points"), indicators)
+    """(long rows, findings) of a written snapshot, variables found by content.
+
+    The manifest joins on the folder names, so files that it does not name are pruned, not read.
+    """
+    folder = F.regexp_replace("folder", "^write=", "").alias("_write")
+    named = settle(read_manifest(spark, path).select(folder, F.col(INDICATOR).alias("_named")))
+    schema = T.StructType([*PAYLOAD.fields, T.StructField("write", T.StringType()), T.StructField(INDICATOR, T.StringType())])
+    payloads = spark.read.schema(schema).json(f"{path}/points")
+    same = (F.col("write") == F.col("_write")) & (F.col(INDICATOR) == F.col("_named"))
+    found = payloads.join(named, same, "left_semi")
+    return snapshot_points(found.select("data", "facets"), indicators)

@@ -77,6 +77,32 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert [r.place_id for r in spark.read.json(str(tmp_path / "snap" / "place_names")).collect()] == ["country/RWA"]
 
 
+def test_a_snapshot_counts_once_its_manifest_is_there(spark, tmp_path):
+    payloads = observations.read_payloads(spark, payload_file(tmp_path, POINTS))
+    latest = observations.decode_points(payloads, meta(spark, "a"))
+    names = spark.createDataFrame([], "place_id string, place_name string")
+    path = str(tmp_path / "snap")
+    observations.write_snapshot(latest, meta(spark, "a"), names, path)
+    # files of a write that never came to its manifest, and a second whole write
+    observations.encode_points(latest.withColumn("value", F.lit(-1.0))).write.partitionBy("indicator_key").json(f"{path}/points/write=lost")
+    values = lambda: sorted(str(r.value) for r in observations.read_snapshot(spark, path, meta(spark, "a"))[0].collect())
+    assert values() == sorted(str(r.value) for r in latest.collect())
+    observations.write_snapshot(latest.withColumn("value", F.lit(7.0)), meta(spark, "a"), names, path)
+    assert set(values()) == {"7.0"} and len(values()) == latest.count()
+    (row,) = observations.read_manifest(spark, path).collect()
+    assert row.n_places == latest.count() and row.folder.startswith("write=")
+
+
+def test_a_place_keeps_the_series_of_each_facet(spark):
+    rows = [("a", "v", "P", "f1", "2020", 1.0), ("a", "v", "P", "f1", "2021", 2.0), ("a", "v", "P", "f2", "2020", 9.0), ("a", "v", "Q", "f2", "2020", 5.0)]
+    df = spark.createDataFrame(rows, "indicator_key string, variable_id string, place_id string, facet_id string, date string, value double")
+    df = df.selectExpr("*", "'u' unit", "'d' unit_display", "'p' provenance_id", "'l' provenance_url", "'P1Y' observation_period")
+    about = spark.createDataFrame([("a", "v", "s")], "indicator_key string, variable_id string, source_agency string").selectExpr("*", "map('k', 'v') dimensions")
+    back = observations.decode_series(observations.encode_series(df), about)
+    got = sorted((r.place_id, r.facet_id, r.date, r.value) for r in back.collect())
+    assert got == [("P", "f1", "2020", 1.0), ("P", "f1", "2021", 2.0), ("P", "f2", "2020", 9.0), ("Q", "f2", "2020", 5.0)]
+
+
 def test_payload_rows_hold_a_bounded_number_of_places(spark):
     n = 400
     df = spark.range(n).select(
