@@ -2,8 +2,8 @@
 
 Documents are range-partitioned by id, so files follow each other in id order. A task encodes its
 documents, appends the end id to each, and packs the ids into sequences of ``LENGTH``: a fixed-size
-list of ids and one of mask bytes (0: filling, 1: token, 2: first token of a document) per row,
-in record batches of an Arrow file. Every file begins a sequence of its own, so files are written
+list of ids and one of mask bits (1: token, 0: filling) per row, in record batches of an Arrow
+file. Ids take 16 bits where the vocabulary allows, else 32. Every file begins a sequence of its own, so files are written
 independently; the last row of a file is filled up with mask 0. A reader maps a file into memory
 and takes any sequence without copying. An index file beside it says where each document lies.
 Only files named in the table of files, which Spark commits as a whole, count.
@@ -94,24 +94,23 @@ def word_ids(tokenizer_path: str) -> WordIds:
     return WordIds(tokenizer_path)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, vocabulary: int = 1 << 16) -> pa.Schema:
+    ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("input_ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _FILES = "first long, last long, path string, index_path string, docs long, tokens long, part int"
 
 
-def with_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids with the end id after each text, and their masks."""
+def with_ends(ids: np.ndarray, counts: np.ndarray, kind=np.uint32) -> np.ndarray:
+    """Ids with the end id after each text."""
     ends = np.cumsum(counts + 1)
-    out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, np.uint32)
+    out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, kind)
     own = np.ones(len(out), bool)
     own[ends - 1] = False
     out[own] = ids
-    mask = np.ones(len(out), np.uint8)
-    mask[ends - counts - 1] = 2
-    return out, mask
+    return out
 
 
 def _write(folder: str, tokenizer_path: str, length: int):
@@ -119,18 +118,21 @@ def _write(folder: str, tokenizer_path: str, length: int):
         import pyspark
 
         part = pyspark.TaskContext.get().partitionId()
-        coder, schema = word_ids(tokenizer_path), sequence_schema(length)
+        coder = word_ids(tokenizer_path)
+        schema = sequence_schema(length, max(coder.tokenizer.get_vocab_size(), END_ID + 1))
+        kind = schema.field("input_ids").type.value_type.to_pandas_dtype()
         opened = None
         docs = tokens = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size, edge = 0, [None, None]
 
         def put(sink, whole: bool) -> int:
-            ids, mask = (np.concatenate(x) for x in zip(*held))
-            n = len(ids) // length * length
+            ids = np.concatenate(held)
+            n, tokens_here = len(ids) // length * length, len(ids)
             if whole and n < len(ids):
                 n += length
-                ids, mask = (np.concatenate([x, np.zeros(n - len(x), x.dtype)]) for x in (ids, mask))
+                ids = np.concatenate([ids, np.zeros(n - len(ids), ids.dtype)])
+            mask = np.arange(n) < tokens_here
             for at in range(0, n, ROWS * length):
                 own = slice(at, min(at + ROWS * length, n))
                 sink.write_batch(
@@ -142,7 +144,7 @@ def _write(folder: str, tokenizer_path: str, length: int):
                         schema=schema,
                     )
                 )
-            held[:] = [(ids[n:], mask[n:])]
+            held[:] = [ids[n:].copy()]
             return len(ids) - n
 
         for batch in batches:
@@ -158,8 +160,8 @@ def _write(folder: str, tokenizer_path: str, length: int):
                     pa.record_batch([doc_ids, pa.array(ends - counts - 1), pa.array(counts + 1)], schema=_INDEX)
                 )
                 edge = [doc_ids[0].as_py() if not docs else edge[0], doc_ids[-1].as_py()]
-                held.append(with_ends(ids, counts))
-                docs, tokens, size = docs + b - a, int(ends[-1]), size + len(held[-1][0])
+                held.append(with_ends(ids, counts, kind))
+                docs, tokens, size = docs + b - a, int(ends[-1]), size + len(held[-1])
                 if size >= ROWS * length:
                     size = put(opened[0], False)
         if opened is not None:
@@ -207,8 +209,8 @@ def _read(length: int):
                     block = reader.get_batch(i)
                     own = slice(block.column(0).offset * length, (block.column(0).offset + block.num_rows) * length)
                     ids = block.column(0).values.to_numpy(zero_copy_only=True)[own]
-                    mask = block.column(1).values.to_numpy(zero_copy_only=True)[own]
-                    ids = ids[mask > 0]
+                    mask = block.column(1).values.to_numpy(zero_copy_only=False)[own]
+                    ids = ids[mask]
                     end = base + len(ids)
                     while at < len(starts) and starts[at] < end:
                         a, b = max(starts[at], base), min(starts[at] + sizes[at], end)
