@@ -132,11 +132,16 @@ def sums_before(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    weight: str | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """One row per key with a column per named quantile, linearly interpolated.
 
-    ``weight`` is a whole number of times that a row counts. Keys without a known value have no row.
+    ``count`` names a column for the number of known values. ``weight`` is a whole number of times that a row counts. Keys without a known value have no row.
     """
     keys = list(keys)
     cells = _weighed(df, keys, value, F.col(weight).cast("bigint") if weight else None)
@@ -163,7 +168,8 @@ def exact_quantiles(
             picked.append(F.max(F.when(inside(rank, F.col("_before"), F.col("_n")), F.col("_v"))).alias(f"_{side}{i}"))
         a, b = F.col(f"_low{i}"), F.col(f"_high{i}")
         out.append(F.when((a == b) | (at == low), a).otherwise(a + (b - a) * (at - low)).alias(name))
-    return found.groupBy(*keys).agg(*picked).select(*keys, *out)
+    number = [F.col("_all").alias(count)] if count else []
+    return found.groupBy(*keys).agg(*picked).select(*keys, *out, *number)
 
 
 def running_totals(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.order_stats import exact_quantiles, join_keys, value_cells
+from panelwright.functions.order_stats import exact_quantiles, join_keys
 from panelwright.schema import INDICATOR, MAD_TO_SIGMA, SERIES
 from panelwright.staging import settle
 
@@ -70,6 +70,8 @@ def with_own_scale(changes: DataFrame) -> DataFrame:
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median, 1.4826 x median absolute deviation and number of the known values per key."""
     keys = list(keys)
+    # Read twice, for the middle and for the distances from it.
+    df = settle(df.select(*keys, value))
     centre = exact_quantiles(df, keys, value, {"median": 0.5})
     return _around(df, centre, keys, value)
 
@@ -81,10 +83,8 @@ def _around(df: DataFrame, centre: DataFrame, keys: list[str], value: str) -> Da
     # Equal infinities are no distance apart.
     away = F.when(F.col(value) == F.col("median"), 0.0).otherwise(F.abs(F.col(value) - F.col("median")))
     rows = join_keys(df.select(*keys, value), centre, keys).select(*keys, away.alias("_away"))
-    cells = value_cells(rows, keys, "_away")
-    mad = exact_quantiles(cells, keys, "_v", {"_mad": 0.5}, "_n")
-    count = cells.groupBy(*keys).agg(F.sum("_n").alias("n_values"))
-    scale = join_keys(mad, count, keys).select(*keys, (F.lit(MAD_TO_SIGMA) * F.col("_mad")).alias("scale"), "n_values")
+    mad = exact_quantiles(rows, keys, "_away", {"_mad": 0.5}, count="n_values")
+    scale = mad.select(*keys, (F.lit(MAD_TO_SIGMA) * F.col("_mad")).alias("scale"), "n_values")
     return join_keys(centre, scale, keys)
 
 
@@ -94,6 +94,7 @@ def change_scales(changes: DataFrame) -> DataFrame:
     Indicators with fewer than two changes have no row. The result is written, so that joins
     with it know how small it is.
     """
+    changes = settle(changes.select(INDICATOR, "change"))
     sizes = [F.struct(F.lit(x).alias("size"), c.alias("v")) for x, c in ((False, F.col("change")), (True, F.abs("change")))]
     both = changes.where(known("change")).select(INDICATOR, F.inline(F.array(*sizes)).alias("_size", "_value"))
     middle = exact_quantiles(both, [INDICATOR, "_size"], "_value", {"_half": 0.5, "_most": 0.9})
