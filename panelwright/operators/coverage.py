@@ -149,6 +149,26 @@ def coverage_asymmetry(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def coverage_asymmetries(panel: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Places that only one indicator of a pair has, for all asked pairs (left_key, right_key) at once.
+
+    Every place of a pair is one row of an aggregate that combines before the shuffle, so work
+    grows with what the asked indicators have. A pair of an indicator with itself has none.
+    """
+    have = panel.select(INDICATOR, "place_id").distinct()
+    asked = pairs.select("left_key", "right_key").distinct()
+    sides = F.inline(F.array(
+        F.struct(F.col("left_key").alias("key"), F.lit(True).alias("left")),
+        F.struct(F.col("right_key").alias("key"), F.lit(False).alias("left")),
+    )).alias("_key", "_left")
+    told = asked.select("left_key", "right_key", sides).join(have, F.col("_key") == F.col(INDICATOR))
+    both = told.groupBy("left_key", "right_key", "place_id").agg(
+        F.bool_or("_left").alias("_in_left"), F.bool_and("_left").alias("_only_left")
+    )
+    side = F.when(F.col("_only_left"), "left_only").when(~F.col("_in_left"), "right_only")
+    return both.select("left_key", "right_key", "place_id", side.alias("side")).where(F.col("side").isNotNull())
+
+
 def coverage_asymmetry_finding(left: DataFrame, right: DataFrame) -> DataFrame:
     only = coverage_asymmetry(left, right).agg(
         F.count(F.when(F.col("side") == "left_only", 1)).alias("n_left_only"),

@@ -201,6 +201,35 @@ def coverage_asymmetry(spark, sf):
     return coverage.coverage_asymmetry(*_balance_sides(spark, sf))
 
 
+_ASKED = [
+    ("ship/share_r", "ship/revenue"), ("orders/finished", "ship/share_r"), ("supplier/balance", "customer/debt"),
+    ("customer/debt", "customer/credit"), ("ship/none", "customer/debt"),
+]
+
+
+@query(
+    "coverage_asymmetries",
+    with_tables(
+        "cust_year supp_wide supp_year nation_points have asked",
+        """SELECT left_key, right_key, place_id, 'left_only' AS side FROM asked JOIN have ON left_key = k
+        WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.k = right_key AND h.place_id = have.place_id) UNION ALL
+        SELECT left_key, right_key, place_id, 'right_only' FROM asked JOIN have ON right_key = k
+        WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.k = left_key AND h.place_id = have.place_id)""",
+        {
+            "have": """SELECT indicator_key AS k, place_id FROM cust_year UNION SELECT indicator_key, place_id FROM supp_year
+            UNION SELECT indicator_key, place_id FROM nation_points""",
+            "asked": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ASKED) + ") AS v(left_key, right_key)",
+        },
+    ),
+)
+def coverage_asymmetries(spark, sf):
+    """All asked pairs in one pass over the panels."""
+    keys = [INDICATOR, "place_id"]
+    panel = panels.cust_year(spark, sf).select(*keys).unionByName(panels.supp_year(spark, sf).select(*keys))
+    panel = panel.unionByName(panels.nation_points(spark, sf).select(*keys))
+    return coverage.coverage_asymmetries(panel, literal_table(spark, _ASKED, "left_key string, right_key string"))
+
+
 @query(
     "coverage_asymmetry_finding",
     with_tables(

@@ -290,3 +290,14 @@ def test_citations(spark, panel):
     assert lineage.uncited(alien, cited).count() == 1
     with pytest.raises(Exception, match="no citation attached"):
         lineage.require_citations(alien, cited).collect()
+
+
+def test_asymmetries_of_all_pairs_at_once(spark):
+    rows = [("a", "P"), ("a", "P"), ("a", "Q"), ("b", "Q"), ("b", "R"), ("c", "Q"), (None, "P")]
+    panel = spark.createDataFrame(rows, "indicator_key string, place_id string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("a", "a"), ("c", "none"), (None, "c")], "left_key string, right_key string")
+    got = sorted(tuple(str(v) for v in r) for r in coverage.coverage_asymmetries(panel, pairs).collect())
+    assert got == [
+        ("None", "c", "Q", "right_only"), ("a", "b", "P", "left_only"), ("a", "b", "R", "right_only"),
+        ("b", "a", "P", "right_only"), ("b", "a", "R", "left_only"), ("c", "none", "Q", "left_only"),
+    ]
