@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+#: Spark removes a query's shuffle files once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -32,10 +39,42 @@ def settle(df: DataFrame) -> DataFrame:
     Used where a result is read by several passes, or where it must not change between two
     uses (range bounds, for one, are sampled). The scan survives lost executors, reads only
     the columns a pass needs, and has a true size, so Spark chooses a broadcast join only
-    when the table is below ``spark.sql.autoBroadcastJoinThreshold``. What was written stays
-    until the folder is cleaned, as checkpoints do.
+    when the table is below ``spark.sql.autoBroadcastJoinThreshold``. The shuffles behind it
+    are removed once it is written. The table stays until ``release`` or until the folder is
+    cleaned, as checkpoints do.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark).rstrip('/')}/panelwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here lose their shuffle files when they end, not some collection later."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes settled tables. Only for those whose readers have all been written themselves.
+
+    Frames that ``settle`` did not return are left alone.
+    """
+    for table in tables:
+        path = _written.pop(table, None) if table is not None else None
+        if path is None:
+            continue
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

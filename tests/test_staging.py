@@ -34,6 +34,25 @@ def test_settled_tables_keep_rows_types_and_know_their_size(spark):
     assert staging.settle(df.where("id < 0")).count() == 0
 
 
+def test_shuffles_end_with_the_write_and_released_tables_are_gone(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files():
+        blocks = manager.getAllFiles()
+        names = [blocks.apply(i).getName() for i in range(blocks.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffle_files()
+    back = staging.settle(spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").sum("id").repartition(3))
+    assert not shuffle_files() - before
+    path = back.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    other = spark.range(3)
+    assert os.path.exists(path) and back.count() == 7
+    staging.release(back, other, None)
+    assert not os.path.exists(os.path.dirname(path)) and other.count() == 3
+    staging.release(back)
+
+
 def test_literal_tables_are_small_enough_to_broadcast(spark):
     rows = [("it's", None, {"K": "v"}), ("back\\slash", 2.5, None)]
     df = literal_table(spark, rows, "name string, x double, m map<string,string>")
