@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import settle
+from panelwright.llm.common import release, settle
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def stars(links: DataFrame, rounds: int = 2) -> DataFrame:
     to stars around the least nodes, and fewer."""
     edges = links.select("a", "b").distinct()
     for _ in range(rounds):
-        edges = settle(_small(_large(edges).distinct()).distinct())
+        before, edges = edges, settle(_small(_large(edges).distinct()).distinct())
+        release(before)
     return edges
 
 
@@ -46,7 +47,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = settle(links.select("a", "b").filter("a <> b").distinct())
     seen = None
     while True:
-        edges = settle(_small(_large(edges).distinct()).distinct())
+        before, edges = edges, settle(_small(_large(edges).distinct()).distinct())
+        release(before)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
             break

@@ -10,7 +10,11 @@ defaults are those of the query.
 
 Boxes of random counts overlap too much to keep far nodes of one huge tree apart, so the root
 fans out first: sets that reach the similarity share one of their few rarest shingles (the prefix
-filter), and below each such shingle there is one tree of packed leaves. A shingle counts as rarer
+filter), and below each such shingle there is one tree. Points are packed into leaves in the order
+of a space-filling curve through eight coarse sums of their counts, so that like points share a
+leaf, and leaves into nodes until a branch has few of them. The tree meets itself from the top
+down: pairs of boxes whose bound allows no link are dropped before their children are looked at,
+and points are compared only in pairs of leaves that are left. A shingle counts as rarer
 the less its words occur in all documents, by a count table of fixed size; any order gives the same
 result. Equal sets
 are one point. Very common shingles order last, so they are rarely a root. Only the connected
@@ -28,11 +32,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import documents, fresh, query, settle
+from panelwright.llm.common import documents, fresh, query, release, settle
 from panelwright.llm.components import components, near_roots, stars
 
 #: Words of a shingle and least similarity of the query.
@@ -42,8 +48,11 @@ GROUPS = 256
 #: Slots of the table of word counts.
 SLOTS = 1 << 18
 _BLOCK = 1 << 12
-#: Points of a leaf.
-LEAF = 256
+#: Points of a leaf, and the power of two of the children of an inner node.
+LEAF = 64
+FAN_BITS = 4
+#: Coarse sums the packing order follows, and bits of each.
+COARSE, COARSE_BITS = 8, 3
 #: Rounds with one pivot for each branch, or each size in it, before the trees are searched for all
 #: that is left.
 PIVOT_ROUNDS = 4
@@ -124,8 +133,22 @@ def _class_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return cid
 
 
+def _curve(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each point's place on a curve through coarse sums of its counts, in standard deviations from
+    what its size lets expect. It only decides which points share a leaf."""
+    coarse = counts.reshape(-1, COARSE, GROUPS // COARSE).sum(axis=2, dtype=np.int64)
+    expected = np.maximum(n[:, None] / COARSE, 1e-9)
+    half = 1 << (COARSE_BITS - 1)
+    cell = np.clip(np.floor((coarse - expected) / np.sqrt(expected)) + half, 0, 2 * half - 1).astype(np.int64)
+    place = np.zeros(len(n), np.int64)
+    for bit in range(COARSE_BITS - 1, -1, -1):
+        for i in range(COARSE):
+            place = place << 1 | cell[:, i] >> bit & 1
+    return place
+
+
 def _sketch(order: np.ndarray, k: int, percent: int):
-    """Rows ``_id, _row, n, cid, counts, roots`` of texts: see ``sketches``."""
+    """Rows ``_id, _row, n, cid, counts, curve, roots`` of texts."""
 
     def one(w: W.Words) -> list[pa.Array]:
         values, at, word = sets(w, k)
@@ -148,6 +171,7 @@ def _sketch(order: np.ndarray, k: int, percent: int):
             pa.array(n.astype(np.int64)),
             pa.array(cid.view(np.int64)),
             pa.array([x.tobytes() for x in counts.reshape(-1, GROUPS)], pa.binary()),
+            pa.array(_curve(counts, n)),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64))),
         ]
 
@@ -156,7 +180,7 @@ def _sketch(order: np.ndarray, k: int, percent: int):
             for a, b, w in W.chunks(batch.column(2), True):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *one(w)], names=["_id", "_row", "n", "cid", "counts", "roots"]
+                    [part.column(0), part.column(1), *one(w)], names=["_id", "_row", "n", "cid", "counts", "curve", "roots"]
                 )
 
     return run
@@ -175,7 +199,9 @@ def _branches(full: DataFrame, percent: int) -> DataFrame:
     both = below.join(shared, "root").select("root", "cid", "n", F.explode(F.array(band, band + 1)).alias("band")).distinct()
     both = settle(both)
     busy = both.groupBy("root", "band").agg(*ends).filter("lo <> hi").select("root", "band")
-    return both.join(busy, ["root", "band"])
+    tree = settle(both.join(busy, ["root", "band"]))
+    release(both)
+    return tree
 
 
 def _ceil_need(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -207,38 +233,44 @@ def _bounded_pairs(percent: int):
     return run
 
 
-def _pack(batches):
-    """Leaves of consecutive points below one root, and their boxes."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        root, band = batch.column("root").to_numpy(), batch.column("band").to_numpy()
-        fresh_root = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (band[1:] != band[:-1])))
-        ends = np.append(fresh_root[1:], len(root))
-        cuts = [(s, min(s + LEAF, e)) for a, e in zip(fresh_root, ends) for s in range(a, e, LEAF)]
-        cid, n, comp = (batch.column(c).to_numpy() for c in ("cid", "n", "comp"))
-        points = _points(batch.column("counts"))
-        out = [
-            (
-                root[s],
-                band[s],
-                cid[s],
-                int(n[s:e].min()),
-                int(n[s:e].max()),
-                int(comp[s:e].min()),
-                int(comp[s:e].max()),
-                points[s:e].max(axis=0).tobytes(),
-                cid[s:e].tobytes() + n[s:e].tobytes() + comp[s:e].tobytes() + points[s:e].tobytes(),
+def _pack(leaf: int):
+    """Leaves of consecutive points below one root, their boxes and their numbers in this order."""
+
+    def run(batches):
+        task = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root, band = batch.column("root").to_numpy(), batch.column("band").to_numpy()
+            fresh_root = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (band[1:] != band[:-1])))
+            ends = np.append(fresh_root[1:], len(root))
+            cuts = [(s, min(s + leaf, e)) for a, e in zip(fresh_root, ends) for s in range(a, e, leaf)]
+            cid, n, comp = (batch.column(c).to_numpy() for c in ("cid", "n", "comp"))
+            points = _points(batch.column("counts"))
+            out = [
+                (
+                    root[s],
+                    band[s],
+                    task + i,
+                    int(n[s:e].min()),
+                    int(n[s:e].max()),
+                    int(comp[s:e].min()),
+                    int(comp[s:e].max()),
+                    points[s:e].max(axis=0).tobytes(),
+                    cid[s:e].tobytes() + n[s:e].tobytes() + comp[s:e].tobytes() + points[s:e].tobytes(),
+                )
+                for i, (s, e) in enumerate(cuts)
+            ]
+            task += len(cuts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 7 + [pa.binary()] * 2)],
+                names=["root", "band", "node", "n_lo", "n_hi", "comp_lo", "comp_hi", "corner", "points"],
             )
-            for s, e in cuts
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 7 + [pa.binary()] * 2)],
-            names=["root", "band", "leaf", "n_lo", "n_hi", "comp_lo", "comp_hi", "corner", "points"],
-        )
+
+    return run
 
 
-_LEAF_KIND = "root long, band long, leaf long, n_lo long, n_hi long, comp_lo long, comp_hi long, corner binary, points binary"
+_NODE_KIND = "root long, band long, node long, n_lo long, n_hi long, comp_lo long, comp_hi long, corner binary"
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -247,6 +279,84 @@ def _open(blob: bytes) -> tuple[np.ndarray, ...]:
     return *whole, np.frombuffer(blob[24 * n :], np.uint8).reshape(n, GROUPS)
 
 
+def _box(bits: int):
+    """The node above some nodes of a branch."""
+    names = [x.split()[0] for x in _NODE_KIND.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        least, most = (lambda c: pc.min(table[c]).as_py()), (lambda c: pc.max(table[c]).as_py())
+        corner = _points(table["corner"].combine_chunks()).max(axis=0).tobytes()
+        key = [table[c][0].as_py() for c in ("root", "band", "node")]
+        row = [*key[:2], key[2] >> bits, least("n_lo"), most("n_hi"), least("comp_lo"), most("comp_hi"), corner]
+        return pa.table([pa.array([x], pa.binary() if c == "corner" else pa.int64()) for x, c in zip(row, names)], names=names)
+
+    return run
+
+
+def _levels(leaves: DataFrame, bits: int) -> list[DataFrame]:
+    """Nodes of the trees, leaves first: branches with more than a node's children get another level.
+
+    Numbers of nodes of one branch that different tasks packed stay apart, so a branch may keep as
+    many top nodes as tasks packed it.
+    """
+    levels = [leaves.drop("points")]
+    most = None
+    while True:
+        size = levels[-1].groupBy("root", "band").agg(F.count("*").alias("nodes")).filter(F.col("nodes") > 1 << bits)
+        now = size.agg(F.max("nodes")).first()[0]
+        if now is None or (most is not None and now >= most):
+            return levels
+        most = now
+        wide = levels[-1].join(size.select("root", "band"), ["root", "band"]).select(*levels[-1].columns)
+        up = F.shiftright("node", bits)
+        levels.append(settle(wide.groupBy("root", "band", up.alias("up")).applyInArrow(_box(bits), _NODE_KIND)))
+
+
+def _boxes_meet(percent: int):
+    """Of pairs of nodes, those that may hold a link: a node with itself, or by their boxes."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("node_a", "node_b", "n_lo_a", "n_lo_b"))
+            most = _bound(_points(batch.column("corner_a")), _points(batch.column("corner_b")))
+            keep = (a == b) | (most >= _ceil_need(na, nb, percent))
+            yield batch.filter(pa.array(keep)).select(["root", "band", "node_a", "node_b"])
+
+    return run
+
+
+def _meeting_leaves(levels: list[DataFrame], percent: int, bits: int) -> DataFrame:
+    """``root, band, node_a, node_b``: pairs of different leaves of a branch whose boxes, and those of
+    all nodes above them, allow a link between points that aren't connected."""
+    by = ["root", "band"]
+    pairs = None
+    for depth in range(len(levels) - 1, -1, -1):
+        level = levels[depth]
+        a, b = (
+            level.select(*by, *[F.col(c).alias(f"{c}_{x}") for c in level.columns[2:]]).withColumn(
+                f"up_{x}", F.shiftright(f"node_{x}", bits)
+            )
+            for x in "ab"
+        )
+        top = a if depth + 1 == len(levels) else a.join(levels[depth + 1].select(*by).distinct(), by, "left_anti")
+        # few nodes of a branch without a level above, then children of the pairs that met above
+        both = top.join(b, by)
+        if pairs is not None:
+            above = pairs.select(*by, F.col("node_a").alias("up_a"), F.col("node_b").alias("up_b"))
+            below = above.join(a, [*by, "up_a"]).join(b, [*by, "up_b"])
+            both = both.unionByName(below.select(*both.columns))
+        order = "<=" if depth else "<"
+        both = both.filter(
+            f"node_a {order} node_b and 100 * n_hi_a >= {percent} * n_lo_b and 100 * n_hi_b >= {percent} * n_lo_a "
+            "and not (comp_lo_a = comp_hi_a and comp_lo_b = comp_hi_b and comp_lo_a = comp_lo_b)"
+        )
+        asked = both.select(*by, "node_a", "node_b", "n_lo_a", "n_lo_b", "corner_a", "corner_b")
+        met = settle(asked.mapInArrow(_boxes_meet(percent), "root long, band long, node_a long, node_b long"))
+        release(pairs)
+        pairs = met
+    return pairs
+
+
 def _search(percent: int):
     """Pairs of points of two leaves that aren't connected and whose bound allows a link."""
 
@@ -270,6 +380,27 @@ def _search(percent: int):
     return run
 
 
+def _tree_pairs(
+    labelled: DataFrame, points: DataFrame, percent: int, leaf: int = LEAF, bits: int = FAN_BITS
+) -> DataFrame:
+    """``a, b``: the pairs the trees find between points of different ``comp``."""
+    order = ["root", "band", "curve", "cid"]
+    placed = labelled.join(points.drop("n"), "cid").select("root", "band", "cid", "n", "comp", "counts", "curve")
+    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    leaves = settle(sorted_.mapInArrow(_pack(leaf), f"{_NODE_KIND}, points binary"))
+    levels = _levels(leaves, bits)
+    meet = _meeting_leaves(levels, percent, bits)
+    at = ["root", "band", "node"]
+    inner = leaves.filter("comp_lo <> comp_hi").selectExpr("points as points_a", "points as points_b", "corner as corner_b")
+    left = leaves.select(*at, "points").toDF("root", "band", "node_a", "points_a")
+    right = leaves.select(*at, "points", "corner").toDF("root", "band", "node_b", "points_b", "corner_b")
+    across = meet.join(left, ["root", "band", "node_a"]).join(right, ["root", "band", "node_b"])
+    asked = inner.union(across.select(*inner.columns))
+    pairs = settle(asked.mapInArrow(_search(percent), "a long, b long").distinct())
+    release(leaves, meet, *levels[1:])
+    return pairs
+
+
 def _whole_sets(k: int):
     """Each set of a task once; the same set from another task only repeats a link."""
 
@@ -322,7 +453,10 @@ def groups(
         F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_row"), F.col(text_column).alias("text")
     )
     order = rarity(rows.select("text"))
-    kind = f"_id {docs.schema[id_column].dataType.simpleString()}, _row long, n long, cid long, counts binary, roots array<bigint>"
+    kind = (
+        f"_id {docs.schema[id_column].dataType.simpleString()}, _row long, n long, cid long, "
+        "counts binary, curve long, roots array<bigint>"
+    )
     sketches = settle(rows.mapInArrow(_sketch(order, shingle, percent), kind))
     full = sketches.filter("n > 0")
     classes = settle(
@@ -330,22 +464,29 @@ def groups(
             F.min("_id").alias("least"),
             F.any_value("n").alias("n"),
             F.any_value("counts").alias("counts"),
+            F.any_value("curve").alias("curve"),
             F.min("_row").alias("row"),
         )
     )
-    points = classes.select("cid", "n", "counts")
-    tree = settle(_branches(full, percent))
+    points = classes.select("cid", "n", "counts", "curve")
+    tree = _branches(full, percent)
+    own = settle(sketches.select("_id", "_row", "n", "cid"))
+    release(sketches)
 
-    def members(pairs: DataFrame) -> DataFrame:
-        """Whole sets of the points in ``pairs``, read again from one text of each."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough; the sets are read again from one text of each."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         place = settle(wanted.join(classes.select("cid", "row"), "cid").select(F.col("row").alias("_row")))
         found = rows.select("_row", "text").join(place, "_row", "left_semi").select("text")
-        return settle(found.mapInArrow(_whole_sets(shingle), "cid long, members binary"))
+        members = settle(found.mapInArrow(_whole_sets(shingle), "cid long, members binary"))
+        right = settle(_linked(pairs, members, percent))
+        release(place, members)
+        return right
 
     # rounds against one pivot of each branch, another one each time
-    links = known = None
-    labelled = tree.withColumn("comp", F.col("cid"))
+    links, known = None, []
+    labelled, given = tree.withColumn("comp", F.col("cid")), None
+    ends = points.drop("curve")
     for turn in range(PIVOT_ROUNDS):
         pick = F.min_by(F.struct("cid", "n", "comp"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid"))
         by = ["root", "band"] if turn % 2 else ["root", "n"]  # equal sizes first: near copies mostly are
@@ -356,38 +497,34 @@ def groups(
             .select(F.least("p.cid", "cid").alias("a"), F.greatest("p.cid", "cid").alias("b"))
             .distinct()
         )
-        if known is not None:
-            first = first.join(known, ["a", "b"], "left_anti")
-        sized = first.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b")
+        for old in known:
+            first = first.join(old, ["a", "b"], "left_anti")
+        sized = first.join(ends.toDF("a", "na", "ca"), "a").join(ends.toDF("b", "nb", "cb"), "b")
         near = settle(sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded_pairs(percent), "a long, b long"))
         if near.isEmpty():
             break
-        known = near if known is None else known.union(near)
-        right = settle(_linked(near, members(near), percent))
+        known.append(near)
+        right = linked(near)
         if right.isEmpty():
             break
-        links = stars(right if links is None else links.union(right))
+        before, links = links, stars(right if links is None else links.union(right))
+        release(before, right)
         near_by = near_roots(links).toDF("cid", "label")
         named = tree.join(near_by, "cid", "left").select("root", "band", "cid", "n", F.coalesce("label", "cid").alias("comp"))
         apart = named.groupBy("root", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        labelled = settle(named.join(apart.select("root", "band"), ["root", "band"]))
+        before, given = given, settle(named.join(apart.select("root", "band"), ["root", "band"]))
+        labelled = given
+        release(before)
 
     # then the trees, for what isn't connected yet
-    placed = labelled.join(points.drop("n"), "cid")
-    order = ["root", "band", "n", "cid"]
-    leaves = settle(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, _LEAF_KIND))
-    a = leaves.select("root", "band", *[F.col(c).alias(f"{c}_a") for c in leaves.columns[2:] if c != "corner"])
-    b = leaves.select("root", "band", *[F.col(c).alias(f"{c}_b") for c in leaves.columns[2:]])
-    meet = a.join(b, ["root", "band"]).filter(
-        f"(n_lo_a, leaf_a) <= (n_lo_b, leaf_b) and 100 * n_hi_a >= {percent} * n_lo_b and 100 * n_hi_b >= {percent} * n_lo_a "
-        "and not (comp_lo_a = comp_hi_a and comp_lo_b = comp_hi_b and comp_lo_a = comp_lo_b)"
-    )
-    pairs = settle(meet.select("points_a", "points_b", "corner_b").mapInArrow(_search(percent), "a long, b long").distinct())
-    if known is not None:
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
+    pairs = found = _tree_pairs(labelled, points, percent)
+    release(tree, given)
+    for old in known:
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
     if not pairs.isEmpty():
-        right = _linked(pairs, members(pairs), percent)
+        right = linked(pairs)
         links = right if links is None else links.union(right)
+    release(found, *known)
     if links is None:
         roots = classes.select("cid", F.col("cid").alias("label"))
     else:
@@ -398,8 +535,7 @@ def groups(
     )
     ids = named.groupBy("label").agg(F.min("least").alias("component"))
     by_class = named.join(ids, "label").select("cid", "component")
-    own = sketches.select("_id", "_row", "n", "cid").join(by_class, "cid", "left")
-    return own.select(
+    return own.join(by_class, "cid", "left").select(
         "_id", "_row", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"),
         F.when(F.col("n") > 0, F.col("cid")).alias("cid"),
     )
