@@ -43,12 +43,15 @@ def open_input(path: str):
 
 
 def array(path: str, kind, length: int) -> np.ndarray:
-    """A file of plain numbers, memory-mapped where the shared folder is mounted."""
-    own = local_path(path)
-    if own is not None:
-        return np.memmap(own, dtype=kind, mode="r", shape=(length,)) if length else np.zeros(0, kind)
+    """A file of plain numbers, memory-mapped where the shared folder is mounted.
+
+    The file is closed again: a mapping outlives it, so a worker may map more files than it may
+    hold open. Where the folder is not mounted the file is read into memory.
+    """
+    if not length:
+        return np.zeros(0, kind)
     with open_input(path) as f:
-        return np.frombuffer(f.read(), kind)
+        return np.frombuffer(f.read_buffer(), kind, length)
 
 
 def join(*parts: str) -> str:
