@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import decontaminate, jaccard, mixing, quality, sharding
-from panelwright.llm.common import own_folder, query, ship
+from panelwright.llm.common import query, release, settle, ship
 
 #: Near duplicates share four fifths of their runs of five words.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -55,12 +55,12 @@ ORACLE_SQL = None
 
 @query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again."""
+    """All stages over ``documents``; what a stage returns is written as Parquet and read again.
+
+    Once it is written, its predecessor's rows and the shuffles behind it are removed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = own_folder(spark, "corpus")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = f"{folder}/stage{i}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for _, stage in STAGES:
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        release(before)
     return docs
