@@ -135,6 +135,22 @@ def shade_geometry(geometry: DataFrame, values: DataFrame, breaks: DataFrame) ->
     ).drop("breaks")
 
 
+def shade_indicators(geometry: DataFrame, values: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Every place of ``geometry`` under every indicator of ``breaks``, with its value and bin.
+
+    One pass for all indicators of (indicator_key, place_id, value) and (indicator_key, breaks); the
+    shapes stay in their table, which a place joins by its id. A place without a value is an
+    explicit ``no_data``; repeated places count once, and values of other indicators are left out.
+    """
+    keys = breaks.agg(F.array_sort(F.collect_set(INDICATOR))).scalar()
+    cells = geometry.select("place_id").distinct().select(F.explode(keys).alias(INDICATOR), "place_id")
+    rows = cells.join(values.select(INDICATOR, "place_id", "value"), [INDICATOR, "place_id"], "left")
+    rows = rows.join(breaks.select(INDICATOR, "breaks"), INDICATOR)
+    rows = rows.withColumn("bin", bin_index(F.col("value"), F.col("breaks")))
+    label = F.coalesce(bin_label(F.col("breaks"), F.col("bin")), F.lit("no_data"))
+    return rows.select(INDICATOR, "place_id", "value", "bin", label.alias("bin_label"))
+
+
 def modal_date(panel: DataFrame, keys: Sequence[str] = (INDICATOR,)) -> DataFrame:
     """Most frequent date per key, the earliest on a tie."""
     counts = panel.where(F.col("date").isNotNull()).groupBy(*keys, "date").agg(

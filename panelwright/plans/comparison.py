@@ -688,6 +688,24 @@ def shaded_geometry(spark, sf):
     return df.withColumn("bin", F.coalesce("bin", F.lit(-1)).cast("bigint"))
 
 
+@query(
+    "shaded_indicators",
+    with_tables(
+        "supp_wide supp_year nation_points geometry vals d breaks binned",
+        """SELECT k.indicator_key, g.place_id, round(value, 6) AS value, CAST(coalesce(bin, -1) AS BIGINT) AS bin, CASE WHEN value IS NULL
+        THEN 'no_data' ELSE printf('%.1f', b.breaks[bin + 1]) || ' – ' || printf('%.1f', b.breaks[bin + 2]) END AS bin_label
+        FROM geometry g CROSS JOIN (SELECT indicator_key FROM breaks) k
+        LEFT JOIN binned b ON b.indicator_key = k.indicator_key AND b.place_id = g.place_id""",
+        _BREAKS,
+    ),
+)
+def shaded_indicators(spark, sf):
+    values = _values(spark, sf)
+    # supplier indicators have a value for each year, but none at a place that is drawn
+    df = bins.shade_indicators(panels.geometry(spark, sf), values, bins.quantile_breaks(values, [INDICATOR], "value"))
+    return df.withColumns({"value": rounded("value"), "bin": F.coalesce("bin", F.lit(-1)).cast("bigint")})
+
+
 @query(
     "modal_dates",
     with_tables(
@@ -754,6 +772,42 @@ def feature_matrix(spark, sf):
     )
 
 
+_SHIP_CATALOG = [
+    ("ship/revenue", ["trade", "money"], "Revenue", True, None),
+    ("ship/share_r", ["trade"], "returned share", True, None),
+    ("ship/share_a", ["trade", "quality"], "Accepted share", True, None),
+    ("ship/quantity", ["trade"], "Amount", False, None),
+    ("ship/base", ["trade"], "Base", True, "denominator"),
+]
+
+
+@query(
+    "sibling_features",
+    with_tables(
+        "supp_wide matrix",
+        """SELECT place_id, unnest(['ship/share_r', 'ship/share_a', 'ship/revenue']) AS indicator_key, CAST(unnest([0, 1, 2]) AS BIGINT)
+        AS position, round(unnest([share_r, share_a, revenue]), 4) AS value FROM matrix""",
+        _GROUPS,
+    ),
+)
+def sibling_features(spark, sf):
+    """The features of a target are chosen by its topics, then measured for every place."""
+    kinds = "key string, topics array<string>, label string, enriched boolean, role string"
+    known_keys = literal_table(spark, _SHIP_CATALOG, kinds)
+    topics = literal_table(spark, [("quality", 0), ("trade", 1), ("money", 2)], "topic string, ordinal int")
+    keys = cluster.feature_keys(known_keys, topics, "ship/share_r")
+    panel = panels.supp_year(spark, sf)
+    latest = panel.groupBy(INDICATOR, "place_id").agg(
+        F.max_by("value", "period").alias("value"), F.max("period").alias("period")
+    )
+    matrix = cluster.feature_matrix(latest, keys)
+    cells = [
+        F.struct(F.lit(k).alias(INDICATOR), F.lit(i).cast("bigint").alias("position"), F.round(F.col(f"`{k}`"), 4).alias("value"))
+        for i, k in enumerate(keys)
+    ]
+    return matrix.select("place_id", F.inline(F.array(*cells)))
+
+
 def _labelled(spark, sf):
     regions = (
         panels.table(spark, sf, "supplier")

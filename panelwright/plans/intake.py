@@ -624,6 +624,30 @@ def upsert_metadata(spark, sf):
     return catalog.upsert_metadata(old, new)
 
 
+@query(
+    "upserted_buckets",
+    """SELECT 'part/' || p_partkey AS key, p_name AS label, p_retailprice AS price, 'old' AS status FROM part
+    WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0.0) AND p_size <> 1
+    UNION ALL SELECT DISTINCT CASE WHEN l_discount = 0.0 THEN 'part/' ELSE 'offer/' END || l_partkey, 'measured', NULL, 'new' FROM lineitem
+    WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_discount <> 0.0
+    UNION ALL SELECT 'part/' || p_partkey, NULL, p_retailprice * 2, 'last' FROM part WHERE p_size = 1""",
+)
+def upserted_buckets(spark, sf):
+    """A table in hash buckets after two upserts; the second one lacks the labels."""
+    path = f"{staging_folder(spark).rstrip('/')}/panelwright/upsert-{uuid.uuid4().hex}"
+    parts = panels.table(spark, sf, "part").withColumn("key", F.concat(F.lit("part/"), F.col("p_partkey").cast("string")))
+    price = F.col("p_retailprice").alias("price")
+    old = parts.select("key", F.col("p_name").alias("label"), price, F.lit("old").alias("status"))
+    kind = F.when(F.col("l_discount") == 0.0, "part/").otherwise("offer/")
+    sold = panels.table(spark, sf, "lineitem").select(F.concat(kind, F.col("l_partkey").cast("string")).alias("key"))
+    new = sold.distinct().select("key", F.lit("measured").alias("label"), F.lit("new").alias("status"))
+    last = parts.where("p_size = 1").select("key", (F.col("p_retailprice") * 2).alias("price"), F.lit("last").alias("status"))
+    catalog.write_buckets(old, path)
+    for rows in (new, last):
+        catalog.upsert_buckets(rows, path, old.schema)
+    return catalog.read_buckets(spark, path, old.schema)
+
+
 # ---- places ----
 
 

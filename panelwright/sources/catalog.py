@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.ids import (
     CATALOGUED_PREFIX,
@@ -13,6 +14,7 @@ from panelwright.functions.ids import (
     id_dimensions,
 )
 from panelwright.schema import DEFAULT_SOURCE, DENOMINATOR_TOPIC, INDICATOR, POLARITIES
+from panelwright.staging import release, settle
 
 _ONLY_DISCOVERED = [
     "source_agency",
@@ -205,6 +207,64 @@ def upsert_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: Folders of a table in hash buckets: the number of buckets, and the bucket.
+BUCKETS, BUCKET = "_buckets", "_bucket"
+
+
+def _placed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    return rows.withColumns({BUCKETS: F.lit(buckets), BUCKET: place})
+
+
+def _write(placed: DataFrame, path: str, mode: str) -> None:
+    writer = placed.hint("rebalance", BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BUCKETS, BUCKET).parquet(path)
+
+
+def write_buckets(rows: DataFrame, path: str, key: str = "key", buckets: int = 64) -> None:
+    """Writes a new table in ``buckets`` folders by the hash of the key, for ``upsert_buckets``."""
+    _write(_placed(rows, key, buckets), path, "error")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a table in hash buckets; columns that a file lacks are null, an empty table has none."""
+    return _read(spark, path, schema).drop(BUCKETS, BUCKET)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    places = [T.StructField(BUCKETS, T.IntegerType()), T.StructField(BUCKET, T.IntegerType())]
+    return spark.read.schema(T.StructType([*schema.fields, *places])).parquet(path)
+
+
+def upsert_buckets(new: DataFrame, path: str, schema: T.StructType, key: str = "key", buckets: int = 64) -> list[int]:
+    """New rows replace those of the same key in a table of ``write_buckets``; returns the buckets rewritten.
+
+    Only buckets that a new key falls into are read and overwritten; the others keep their files. A
+    null key is a key like others, rows of ``new`` with one key all stay. Columns ``new`` lacks are
+    null in its rows, columns that ``schema`` lacks are an error. A table keeps its number of buckets.
+    The new content is staged before anything is replaced, so a failed call can be repeated.
+    """
+    if extra := set(new.columns) - set(schema.names):
+        raise ValueError(f"columns the table does not have: {sorted(extra)}")
+    spark = new.sparkSession
+    table = _read(spark, path, schema)
+    other = table.where(F.col(BUCKETS) != buckets).select(BUCKETS).first()
+    if other is not None:
+        raise ValueError(f"the table has {other[0]} buckets, not {buckets}")
+    placed = settle(_placed(new, key, buckets))
+    # at most as many numbers as there are buckets
+    touched = sorted(r[0] for r in placed.select(BUCKET).distinct().collect())
+    if touched:
+        mine = placed.select(BUCKET, F.col(key).alias("_key")).distinct()
+        same = (table[BUCKET] == mine[BUCKET]) & table[key].eqNullSafe(mine["_key"])
+        stay = table.where(F.col(BUCKET).isin(touched)).join(mine, same, "left_anti")
+        content = settle(stay.unionByName(placed, allowMissingColumns=True))
+        _write(content, path, "overwrite")
+        release(content)
+    release(placed)
+    return touched
+
+
 def candidate_variables(hits: DataFrame) -> DataFrame:
     """Search hits (variable_id, name) of the catalogued families as candidate metadata rows."""
     v = F.col("variable_id")

@@ -255,6 +255,19 @@ def test_geometry_without_data_is_a_category(spark, panel):
     assert got == {"A": (0, "1.0 – 3.0"), "B": (0, "1.0 – 3.0"), "ATA": (None, "no_data")}
 
 
+def test_all_indicators_are_shaded_in_one_pass(spark, panel):
+    shapes = spark.createDataFrame([("A",), ("B",), ("ATA",), ("A",)], "place_id string")
+    values = panel({"A": [1], "B": [3]}).unionByName(panel({"B": [7], "X": [2]}, indicator="y")).unionByName(panel({"A": [5]}, indicator="z"))
+    edges = bins.quantile_breaks(values.where("indicator_key <> 'z'"), ["indicator_key"], "value")
+    got = sorted((r.indicator_key, r.place_id, r.value, r.bin, r.bin_label) for r in bins.shade_indicators(shapes, values, edges).collect())
+    one, two = sorted({r[0] for r in got})
+    assert got == [
+        (one, "A", 1.0, 0, "1.0 – 3.0"), (one, "ATA", None, None, "no_data"), (one, "B", 3.0, 0, "1.0 – 3.0"),
+        (two, "A", None, None, "no_data"), (two, "ATA", None, None, "no_data"), (two, "B", 7.0, 0, "2.0 – 7.0"),
+    ]
+    assert bins.shade_indicators(shapes, values, edges.limit(0)).count() == 0
+
+
 def test_modal_date_takes_the_earliest_on_a_tie(panel):
     df = panel({"A": [1, 1], "B": [1, 1], "C": {2002: 1}})
     assert bins.modal_date(df).first().modal_date == "2000"

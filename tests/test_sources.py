@@ -266,3 +266,41 @@ def test_upstream_upsert_and_candidates(spark):
     rows = {r.key: r for r in catalog.candidate_variables(hits).collect()}
     assert set(rows) == {"candidate_cook_who", "candidate_worldbank/eg_x_EG_X"}
     assert rows["candidate_cook_who"].dimensions == {"SEX": "F"} and rows["candidate_worldbank/eg_x_EG_X"].label == "worldBank/EG_X"
+
+
+def test_upserts_rewrite_only_the_buckets_of_new_keys(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    old = spark.createDataFrame([(f"k{i}", i, "x") for i in range(60)] + [(None, -1, "x")], "key string, n int, only_old string")
+    catalog.write_buckets(old, path, buckets=16)
+    files = lambda: {p for p in (tmp_path / "meta").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([("k3", 300), ("k3", 301), ("z", 9), (None, -2)], "key string, n int")
+    touched = catalog.upsert_buckets(new, path, old.schema, buckets=16)
+    assert 1 <= len(touched) <= 3
+    gone, come = before - files(), files() - before
+    assert gone and come and {p.parent.name for p in gone | come} <= {f"_bucket={b}" for b in touched}
+    got = sorted((r.key or "", r.n, r.only_old) for r in catalog.read_buckets(spark, path, old.schema).collect())
+    want = [(f"k{i}", i, "x") for i in range(60) if i != 3] + [("k3", 300, None), ("k3", 301, None), ("z", 9, None), ("", -2, None)]
+    assert got == sorted(want, key=lambda r: (r[0], r[1]))
+    # nothing new, nothing touched
+    kept = files()
+    assert catalog.upsert_buckets(new.limit(0), path, old.schema, buckets=16) == [] and files() == kept
+
+
+def test_upserts_refuse_another_table(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    old = spark.createDataFrame([("a", 1)], "key string, n int")
+    catalog.write_buckets(old, path, buckets=4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        catalog.upsert_buckets(old, path, old.schema, buckets=8)
+    with pytest.raises(ValueError, match="extra"):
+        catalog.upsert_buckets(old.withColumn("extra", F.lit(1)), path, old.schema, buckets=4)
+
+
+def test_upsert_into_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int")
+    catalog.write_buckets(rows.limit(0), path)
+    assert catalog.read_buckets(spark, path, rows.schema).count() == 0
+    catalog.upsert_buckets(rows, path, rows.schema)
+    assert sorted(tuple(r) for r in catalog.read_buckets(spark, path, rows.schema).collect()) == [("a", 1), ("b", 2)]
