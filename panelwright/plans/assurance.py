@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import steps
 from panelwright.operators import coverage, lineage, quality
-from panelwright.plans import panels
-from panelwright.plans.registry import query, rounded, whole, with_tables
+from panelwright.plans import comparison, panels
+from panelwright.plans.registry import ORACLES, query, rounded, whole, with_tables
 from panelwright.schema import INDICATOR, literal_table
+from panelwright.staging import settle
 
 _BASE = "cust_year supp_wide supp_year settings"
 CTE = {
@@ -686,9 +687,9 @@ def source_rows(spark, sf):
 @query(
     "lineage_counts",
     with_tables(
-        "latest_point shapes",
+        "latest_point pulls shapes",
         """SELECT (SELECT count(*) FROM latest_point) AS places, (SELECT count(DISTINCT place_id) FROM shapes) AS geometries,
-        CAST(3 AS BIGINT) AS indicators, CAST(2 AS BIGINT) AS sources""",
+        (SELECT count(*) FROM pulls) AS indicators, (SELECT count(DISTINCT source) FROM pulls) AS sources""",
         _LINEAGE_PANEL,
     ),
 )
@@ -698,6 +699,66 @@ def lineage_counts(spark, sf):
     )
 
 
+_REPORT = {
+    **_CHECKS,
+    "agreement": ORACLES["cross_source_agreement"],
+    "meta": "SELECT *, 'own/' || indicator_key AS variable_id FROM pulls",
+    "report": """SELECT 'check' AS section, indicator_key, "check" AS name, agree || '/' || total || ' ' || passed AS text FROM all_checks
+        UNION ALL SELECT 'check', left_key, 'cross_source', agree || '/' || total || ' ' || passed FROM agreement
+        UNION ALL SELECT 'field', indicator_key, label, variable_id FROM meta
+        UNION ALL SELECT 'selection', indicator_key, unnest(['variable', 'parentEntity', 'childType']), unnest([variable_id, 'Earth', 'Country']) FROM meta
+        UNION ALL SELECT 'step', indicator_key, 'transform.' || s, CAST(i AS VARCHAR) FROM (SELECT indicator_key, unnest(l) AS s, unnest(range(len(l))) AS i FROM (
+            SELECT indicator_key, ['fetch', 'latest', 'long', 'names', 'join'] || CASE WHEN unit = 'Percent' THEN ['saturation'] ELSE [] END
+            || CASE WHEN source = 'api_b' THEN ['merge'] ELSE [] END AS l FROM meta))
+        UNION ALL SELECT 'source', NULL, id, provides FROM (SELECT provenance_id AS id, string_agg(label, ', ' ORDER BY indicator_key) AS provides
+            FROM (SELECT DISTINCT indicator_key, facet_id, provenance_id FROM lp) JOIN pulls USING (indicator_key) GROUP BY ALL)
+        UNION ALL SELECT 'count', NULL, 'places', CAST(count(*) AS VARCHAR) FROM lp
+        UNION ALL SELECT 'count', NULL, 'geometries', CAST(count(DISTINCT place_id) AS VARCHAR) FROM shapes
+        UNION ALL SELECT 'count', NULL, 'indicators', CAST(count(*) AS VARCHAR) FROM pulls
+        UNION ALL SELECT 'count', NULL, 'sources', CAST(count(DISTINCT source) AS VARCHAR) FROM pulls""",
+}
+
+
+@query(
+    "lineage_report",
+    with_tables(
+        "latest_point pulls lp shapes audit units facets years all_checks agreement meta report", "SELECT * FROM report", _REPORT
+    ),
+)
+def lineage_report(spark, sf):
+    """All parts of the lineage as rows: what was selected, done and counted, and every check with the cross-source ones."""
+    meta = _cited(spark).withColumns(
+        {
+            "variable_id": F.concat(F.lit("own/"), INDICATOR),
+            "saturation_ceiling": F.when(F.col("unit") == "Percent", 100.0),
+            "denominator": F.lit(None).cast("string"),
+        }
+    )
+    agreement = comparison.compare.cross_source_agreement(comparison._points(spark, sf))
+    found = lineage.build_lineage(
+        settle(_lineage_panel(spark, sf)), meta, _shapes(spark, sf), meta.where(F.col("source") == "api_b"), agreement
+    )
+    none = F.lit(None).cast("string")
+    part = lambda df, section, key, name, text: df.select(
+        F.lit(section).alias("section"), key.alias(INDICATOR), name.alias("name"), text.cast("string").alias("text")
+    )
+    key, name = F.col(INDICATOR), F.col("name")
+    chosen = found.selection.where(F.col("parameter").isin("variable", "parentEntity", "childType"))
+    counts = found.counts.select(F.expr("stack(4, 'places', places, 'geometries', geometries, 'indicators', indicators, 'sources', sources) AS (name, n)"))
+    parts = [
+        part(found.checks, "check", key, F.col("check"), F.concat("agree", F.lit("/"), "total", F.lit(" "), F.col("passed").cast("string"))),
+        part(found.fields, "field", key, F.col("shown"), F.col("field")),
+        part(chosen, "selection", key, F.col("parameter"), F.col("value")),
+        part(found.transformations, "step", key, F.col("step"), F.col("position")),
+        part(found.sources, "source", none, F.col("id"), F.col("provides")),
+        part(counts, "count", none, name, F.col("n")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query(
     "citations",
     with_tables(
