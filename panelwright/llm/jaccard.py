@@ -393,7 +393,10 @@ def _tree_pairs(
     at = ["root", "band", "node"]
     inner = leaves.filter("comp_lo <> comp_hi").selectExpr("points as points_a", "points as points_b", "corner as corner_b")
     left = leaves.select(*at, "points").toDF("root", "band", "node_a", "points_a")
+    # most leaves meet no other one, and stay out of the shuffle where those that do are few
+    asked_b = meet.select("root", "band", "node_b").distinct()
     right = leaves.select(*at, "points", "corner").toDF("root", "band", "node_b", "points_b", "corner_b")
+    right = right.join(asked_b, ["root", "band", "node_b"], "left_semi")
     across = meet.join(left, ["root", "band", "node_a"]).join(right, ["root", "band", "node_b"])
     asked = inner.union(across.select(*inner.columns))
     pairs = settle(asked.mapInArrow(_search(percent), "a long, b long").distinct())
