@@ -170,7 +170,7 @@ def _sketch(order: np.ndarray, k: int, percent: int):
         return [
             pa.array(n.astype(np.int64)),
             pa.array(cid.view(np.int64)),
-            pa.array([x.tobytes() for x in counts.reshape(-1, GROUPS)], pa.binary()),
+            _narrow(counts.reshape(-1, GROUPS)),
             pa.array(_curve(counts, n)),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64))),
         ]
@@ -210,9 +210,25 @@ def _ceil_need(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.nda
     return -(-percent * both // (100 + percent))
 
 
+def _narrow(counts: np.ndarray) -> pa.Array:
+    """Rows of counts as bytes: two counts a byte where all of a row are below 16, else one."""
+    small = counts.max(axis=1, initial=0) < 16
+    halves = counts[:, 0::2] | counts[:, 1::2] << 4
+    return pa.array([(halves[i] if few else counts[i]).tobytes() for i, few in enumerate(small)], pa.binary())
+
+
 def _points(column: pa.Array) -> np.ndarray:
-    data, _ = W.text_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
-    return np.frombuffer(data.tobytes(), np.uint8).reshape(len(column), GROUPS)
+    """Rows of counts from bytes of either width."""
+    data, at = W.text_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
+    out = np.empty((len(column), GROUPS), np.uint8)
+    half = np.diff(at) < GROUPS
+    for rows, width in ((np.flatnonzero(half), GROUPS // 2), (np.flatnonzero(~half), GROUPS)):
+        found = data[at[rows][:, None] + np.arange(width)]
+        if width == GROUPS:
+            out[rows] = found
+        else:
+            out[rows, 0::2], out[rows, 1::2] = (found & 15), (found >> 4)
+    return out
 
 
 def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:

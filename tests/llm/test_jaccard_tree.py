@@ -59,3 +59,12 @@ def test_like_points_share_leaves_and_far_boxes_do_not_meet(spark, monkeypatch):
     jaccard._tree_pairs(labelled, points, 90, 4, 2)
     depth, leaves, met = asked[0]
     assert depth > 1 and met < leaves * (leaves - 1) // 4, (leaves, met)
+
+
+def test_counts_come_back_from_either_width():
+    counts = np.random.default_rng(1).poisson(2, (50, jaccard.GROUPS)).astype(np.uint8)
+    counts[1::3, 5], counts[2::5, 7], counts[3::7, 0], counts[4::7] = 200, jaccard.FULL, 16, 15
+    packed = jaccard._narrow(counts)
+    assert {len(x.as_py()) for x in packed} == {jaccard.GROUPS // 2, jaccard.GROUPS}
+    assert (jaccard._points(packed) == counts).all() and (jaccard._points(packed.slice(3)) == counts[3:]).all()
+    assert jaccard._points(jaccard._narrow(counts[:0])).shape == (0, jaccard.GROUPS)
